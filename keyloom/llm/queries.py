@@ -38,6 +38,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, sample).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.suffixes import repeated_passages
+
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.urls import RULES, judge
 
@@ -52,6 +58,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.chat import adjacent_pairs, format_preferences
+
+    return format_preferences(adjacent_pairs(read(spark, sf_dir, "conversations")))
+
+
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.bpe import encode_documents
 
@@ -59,6 +71,12 @@ def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, vocabulary_file(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.jaccard import link_documents
+
+    return link_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.pii import find_spans
 
@@ -67,5 +85,9 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_language_id, op5_url_filters, op6_decontamination, op8_bpe_tokens, op10_pii_spans)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_license_scans, op3_language_id, op4_suffix_dedup, op5_url_filters,
+        op6_decontamination, op7_chat_format, op8_bpe_tokens, op9_ngram_jaccard, op10_pii_spans,
+    )
 }
