@@ -1 +1 @@
-
+"""Ordered key-value analytics on Spark: every operator is a function from DataFrames to a DataFrame."""

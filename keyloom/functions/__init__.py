@@ -1 +1 @@
-
+"""Column functions: byte keys, the tuple encoding, sketches, buckets."""

@@ -1,9 +1,13 @@
-"""Registry of the queries of this library and their oracles."""
+"""All registered queries and oracles of this library."""
+
+from keyloom.plans import reads, registry, shapes, writes
+
+_loaded = (reads, shapes, writes)
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLES)

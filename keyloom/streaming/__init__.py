@@ -1 +1 @@
-
+"""Change streams and watches on Structured Streaming."""
