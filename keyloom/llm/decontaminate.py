@@ -1,9 +1,9 @@
 """Benchmark decontamination by a hash set of normalised n-grams (native: DataFrame functions only).
 
 Words of benchmark items make windows of ``n`` words (an item of fewer is one window).
-Every window of a document's words is hashed and looked up in the windows of the
-benchmark, which are broadcast if they are at most BROADCAST_WINDOWS and else joined
-by a shuffle; a hit is verified word by word. Hit places are counted as the words
+Every window of a document's words is hashed and looked up in the hash set of the
+benchmark's windows, which is sent to every task if it has at most BROADCAST_WINDOWS
+and else joined by a shuffle; a hit is verified word by word. Hit places are counted as the words
 they cover together.
 
 Rows: one for each input row. Null and empty texts have no words, no hits and are
@@ -19,21 +19,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ascii_lower, fits
+from keyloom.llm.common import ascii_lower, fits, materialise
 from keyloom.llm.licenses import RAW_WORD, SEPARATORS
 
 NGRAM = 13
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS = 20_000
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def _window_hashes(words: str, n: int) -> Column:
-    """Hash of every window of n words, in order; none where there are fewer words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, F.lit(n))))
+def _starts(words: str, n: int) -> Column:
+    """Places, from 1, where windows of n words start; none where there are fewer words."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _in(value: Column, numbers: set[int]) -> Column:
+    """Membership in a hash set of literals."""
+    return F.call_function("coalesce", value.isin(*sorted(numbers)), F.lit(False))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = NGRAM) -> DataFrame:
@@ -52,17 +56,28 @@ def find_hits(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = NGRAM
 ) -> DataFrame:
     """(doc_id, text_hash, spans, items): for documents with hits, word spans [start, end) and the items that hit."""
-    windows = benchmark_windows(benchmark, item, item_text, n)
+    windows = materialise(benchmark_windows(benchmark, item, item_text, n))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     small = fits(windows, BROADCAST_WINDOWS)
     own = documents.select(documents[doc_id].alias("doc_id"), F.xxhash64(documents[text]).alias("text_hash"), _words(documents[text]).alias("w"))
     hits = None
     for size in sizes:
         known = windows.where(F.col("size") == size).select("hash", "gram", "items")
+        if small:  # the hash set goes with the plan, and only windows that are in it leave their row
+            hashes = {r["hash"] for r in known.select("hash").collect()}
+            places = F.array_compact(F.transform(_starts("w", size), lambda i: F.when(_in(F.xxhash64(F.slice(F.col("w"), i, F.lit(size))), hashes), i)))
+            scanned = own.select("doc_id", "text_hash", "w", places.alias("p")).where(F.size("p") > 0)
+        else:  # (place, hash) of every window meets the benchmark's in a shuffle; the words follow for documents that hit
+            rows = own.select("doc_id", "text_hash", F.posexplode(F.transform(_starts("w", size), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(size))))).alias("at", "hash"))
+            met = rows.join(known.select("hash").distinct(), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at") + 1).alias("p"))
+            met = met.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "p")
+            scanned = own.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "w", "p")
+        grams = F.transform("p", lambda i: F.struct((i - 1).alias("at"), F.slice(F.col("w"), i, F.lit(size)).alias("gram")))
+        found = scanned.select("doc_id", "text_hash", F.explode(grams).alias("g"))
+        known = known.select(F.col("gram").alias("known"), "items")
         known = F.broadcast(known) if small else known
-        scanned = own.select("doc_id", "text_hash", "w", F.posexplode(_window_hashes("w", size)).alias("at", "hash"))
-        found = scanned.join(known, "hash").where(F.slice(F.col("w"), F.col("at") + 1, F.lit(size)) == F.col("gram"))
-        found = found.select("doc_id", "text_hash", F.struct(F.col("at").alias("s"), (F.col("at") + size).alias("e")).alias("span"), "items")
+        found = found.join(known, F.col("g.gram") == F.col("known"))  # word by word
+        found = found.select("doc_id", "text_hash", F.struct(F.col("g.at").alias("s"), (F.col("g.at") + size).alias("e")).alias("span"), "items")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return documents.sparkSession.createDataFrame([], f"doc_id {documents.schema[doc_id].dataType.simpleString()}, text_hash bigint, spans array<struct<s:int,e:int>>, items array<string>")

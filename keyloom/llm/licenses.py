@@ -93,14 +93,15 @@ def scan(
     marked = counted.select("k", "n_words", F.when(seen | phrase_lead, _exact_words("t")).alias("w"))
 
     blocks = _blocks("w", span)
-    best = F.transform(blocks, lambda b: _verify(b, vocabulary, needs, order))
+    scores = "array<struct<label:string,score:double>>"
+    best = F.transform(blocks, lambda b: _verify(b, vocabulary, needs, order).cast(scores))
     scored = marked.select("k", "n_words", "w", F.when(F.col("w").isNotNull(), best).alias("b"))
 
     places = F.flatten(F.array(*[_places("w", p, label) for p, label in phrases])) if phrases else F.array().cast("array<struct<at:int,label:string>>")
     found = scored.select("k", "n_words", F.when(F.col("w").isNotNull(), places).alias("p"), "b")
     at = F.transform("p", lambda x: x["at"])
     base = F.coalesce(F.transform("p", lambda x: x["label"]), F.array().cast("array<string>"))
-    hits = F.filter(F.coalesce(F.flatten("b"), F.array().cast("array<struct<label:string,score:double>>")), lambda x: x["score"] >= threshold)
+    hits = F.filter(F.coalesce(F.flatten("b"), F.array().cast(scores)), lambda x: x["score"] >= threshold)
     return found.select(
         *[F.col("k").getField(c).alias(c) for c in keep],
         "n_words",
