@@ -85,7 +85,7 @@ def hot_ranges(sizes: Order, reads: Order, begin, end, ratio: float, chunk: int)
         i = sizes.beyond(sizes.below(at) + chunk)
         if i < len(sizes.keys) and sizes.keys[i] == at:
             i += 1
-        to = sizes.keys[i] if i < len(sizes.keys) and sizes.keys[i] < end else None
+        to = sizes.keys[i] if i < len(sizes.keys) else None
         if to is None:
             break
         size, read = sizes.between(at, to), reads.between(at, to)

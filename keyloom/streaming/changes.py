@@ -96,7 +96,8 @@ def apply_changes(batch: DataFrame, target: str, applied: str) -> None:
             raise
         last = None
     if last is not None:
-        fresh = fresh.where(F.struct("version", "seq") > F.struct(F.lit(last["version"]), F.lit(last["seq"])))
+        v, q = F.lit(last["version"]), F.lit(last["seq"])
+        fresh = fresh.where((F.col("version") > v) | ((F.col("version") == v) & (F.col("seq") > q)))
     fresh.write.mode("append").parquet(target)
     fresh.agg(F.max(F.struct("version", "seq")).alias("m")).where("m is not null").select("m.version", "m.seq").write.mode("append").parquet(applied)
 
