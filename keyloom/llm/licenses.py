@@ -66,7 +66,7 @@ def scan(
     phrases: Sequence[tuple[str, str]] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``keep``, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment of a template)."""
+    """``keep``, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment of a template that matches, else 0)."""
     sets = [(label, template_words(t)) for label, t in templates]
     if sum(len(w) for _, w in sets) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have over {MAX_TEMPLATE_WORDS} words")
@@ -101,7 +101,7 @@ def scan(
     found = scored.select("k", "n_words", F.when(F.col("w").isNotNull(), places).alias("p"), "b")
     at = F.transform("p", lambda x: x["at"])
     base = F.coalesce(F.transform("p", lambda x: x["label"]), F.array().cast("array<string>"))
-    hits = F.filter(F.coalesce(F.flatten("b"), F.array().cast(scores)), lambda x: x["score"] >= threshold)
+    hits = F.filter(F.coalesce(F.flatten("b"), F.array().cast(scores)), lambda x: x["score"] > 0)
     return found.select(
         *[F.col("k").getField(c).alias(c) for c in keep],
         "n_words",
@@ -137,7 +137,7 @@ def _blocks(words: str, span: int) -> Column:
 
 
 def _verify(block: Column, vocabulary: Sequence[str], needs, order: dict[str, int]) -> Column:
-    """Containment of every template in a block whose template tokens pass the filters, else none."""
+    """Containment of every template that the block matches, else 0."""
     out = []
     own = F.array_intersect(F.array(*[F.lit(w) for w in sorted(vocabulary, key=lambda w: (order[w], w))]), block)
     for label, words, need in needs:
@@ -147,7 +147,7 @@ def _verify(block: Column, vocabulary: Sequence[str], needs, order: dict[str, in
         prefix = len(words) - need + 1
         passes = (F.size(own) >= need) & (F.size(common) > 0)
         positional = F.coalesce((first <= prefix) & (len(words) - first + 1 >= need), F.lit(False))
-        score = F.when(passes & positional, F.size(common) / float(len(words))).otherwise(F.lit(0.0))
+        score = F.when(passes & positional & (F.size(common) >= need), F.size(common) / float(len(words))).otherwise(F.lit(0.0))
         out.append(F.struct(F.lit(label).alias("label"), score.alias("score")))
     return F.array(*out)
 
