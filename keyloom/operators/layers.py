@@ -237,8 +237,12 @@ def pack_column(rows: DataFrame, per_block: int) -> DataFrame:
 
 
 def inbox_messages(subscriptions: DataFrame, messages: DataFrame, limit: int) -> DataFrame:
-    """The newest ``limit`` messages of every inbox, of all feeds it is subscribed to (also those posted before)."""
-    own = subscriptions.select("inbox", "feed").distinct().join(messages, "feed")
+    """The newest ``limit`` messages of every inbox, of all feeds it is subscribed to (also those posted before).
+
+    They are among the newest ``limit`` of its feeds, so no more of a feed are joined.
+    """
+    newest = feed_messages(messages, limit).drop("rank")
+    own = subscriptions.select("inbox", "feed").distinct().join(newest, "feed")
     order = Window.partitionBy("inbox").orderBy(F.desc("message"))
     return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keyloom.operators.folds import last_writer
 
@@ -126,8 +127,8 @@ def resolve_batch(rows: list[tuple], oldest: int) -> list[tuple]:
 def detect_conflicts(txns: DataFrame, history: DataFrame | None = None, oldest: int = 0, width: int | None = None) -> DataFrame:
     """batch, txn, status and the conflicting range. ``txns``: batch, txn, snapshot, reads and writes (arrays of struct begin, end).
 
-    Committed history is checked by a parallel join; inside a batch, order decides, so that a batch (bounded by the
-    commit pipeline) is one group.
+    Committed history is checked by a parallel join; inside a batch, order decides, so that the rows of a batch (bounded
+    by the commit pipeline) are read in order by one task, which holds one batch at a time.
     """
     rows = txns.select("batch", "txn", "snapshot", "reads", "writes")
     if history is None:
@@ -136,18 +137,32 @@ def detect_conflicts(txns: DataFrame, history: DataFrame | None = None, oldest:
         reads = rows.select("txn", "snapshot", F.explode("reads").alias("r")).select("txn", "snapshot", "r.begin", "r.end")
         hits = history_conflicts(reads, history, width).groupBy("txn").agg(F.min(F.struct("begin", "end")).alias("hit"))
         rows = rows.join(hits, "txn", "left")
-    kind = txns.select(F.col("reads")[0]["begin"]).schema[0].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("txn")
-        ranges = lambda x: [(r["begin"], r["end"]) for r in x] if x is not None else []
-        got = resolve_batch(
-            [(t, s, ranges(r), ranges(w), None if h is None else (h["begin"], h["end"])) for t, s, r, w, h in zip(pdf["txn"], pdf["snapshot"], pdf["reads"], pdf["writes"], pdf["hit"], strict=True)],
-            oldest,
-        )
-        return pd.DataFrame(got, columns=["txn", "status", "begin", "end"]).assign(batch=pdf["batch"].iloc[0])[["batch", "txn", "status", "begin", "end"]].astype({"begin": object, "end": object})
-
-    return rows.groupBy("batch").applyInPandas(run, f"batch bigint, txn bigint, status string, begin {kind}, end {kind}")
+    kind = txns.select(F.col("reads")[0]["begin"].alias("k")).schema[0]
+    arrow = to_arrow_type(kind.dataType)
+
+    def run(batches):
+        open_, own = None, []
+        for record in batches:
+            for r in record.to_pylist():
+                if r["batch"] != open_ and own:
+                    yield verdicts(open_, own, oldest, arrow)
+                    own = []
+                open_ = r["batch"]
+                own.append(r)
+        if own:
+            yield verdicts(open_, own, oldest, arrow)
+
+    ordered = rows.select("batch", "txn", "snapshot", "reads", "writes", "hit").repartition("batch").sortWithinPartitions("batch", "txn")
+    name = kind.dataType.simpleString()
+    return ordered.mapInArrow(run, f"batch bigint, txn bigint, status string, begin {name}, end {name}")
+
+
+def verdicts(batch: int, rows: list[dict], oldest: int, kind: pa.DataType) -> pa.RecordBatch:
+    ranges = lambda x: [(r["begin"], r["end"]) for r in x or ()]
+    got = resolve_batch([(r["txn"], r["snapshot"], ranges(r["reads"]), ranges(r["writes"]), r["hit"] and (r["hit"]["begin"], r["hit"]["end"])) for r in rows], oldest)
+    columns = [pa.array([batch] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())]
+    columns += [pa.array([g[i] for g in got], kind) for i in (2, 3)]
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "txn", "status", "begin", "end"])
 
 
 def lock_conflicts(requests: DataFrame, locks: DataFrame) -> DataFrame:
