@@ -228,6 +228,16 @@ def timestamp_to_version(t):
     return joins.timestamp_to_version(probe, marks).select("event_id", "version")
 
 
+@query(
+    "with m as (select ts, event_id * 1000 as version from events where event_id % 500 = 0), q as (select event_id, event_id * 1000 + 77 as version from events where event_id % 41 = 0) "
+    "select event_id, epoch_us(m.ts) + (q.version - m.version) as micros from q asof left join m on q.version >= m.version"
+)
+def version_to_timestamp(t):
+    marks = t("events").where("event_id % 500 = 0").select("ts", (F.col("event_id") * 1000).alias("version"))
+    probe = t("events").where("event_id % 41 = 0").select("event_id", (F.col("event_id") * 1000 + 77).alias("version"))
+    return joins.version_to_timestamp(probe, marks).select("event_id", F.unix_micros("ts").alias("micros"))
+
+
 @query(f"select a.user_id as user_a, count(*) as n from {USER_SPANS} a join {USER_SPANS} b on a.\"begin\" < b.\"end\" and b.\"begin\" < a.\"end\" and a.user_id = b.user_id and a.\"begin\" < b.\"begin\" group by 1")
 def interval_overlap(t):
     pairs = joins.overlapping(user_spans(t), user_spans(t), width=512, by=["user_id"]).where("a.begin < b.begin")

@@ -72,6 +72,13 @@ def set_clear(t):
     return versions.state_at(event_log(t), 1 << 62)
 
 
+@query("select event_id, hex(encode('k')) || lpad(upper(printf('%x', event_id * 1000000)), 16, '0') || lpad(upper(printf('%x', event_id % 7)), 4, '0') || hex(encode('z')) as key from events where event_id < 3000")
+def set_versionstamped_key(t):
+    e = t("events").where("event_id < 3000")
+    template = F.concat(F.encode(F.lit("k"), "UTF-8"), F.unhex(F.lit("00" * 10)), F.encode(F.lit("z"), "UTF-8"), F.unhex(F.lit("01000000")))
+    return e.select("event_id", F.hex(folds.place_stamp(template, F.col("event_id") * 1000000, F.col("event_id") % 7)).alias("key"))
+
+
 CLEARS = "(select event_id as version, user_id * 60 as \"begin\", user_id * 60 + 90 as \"end\" from events where event_type = 'error')"
 
 
