@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from keyloom.llm.common import annotate
 
 #: Words whose path a worker remembers at most; then it starts afresh (bounded memory).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Pairs in the transition table of a worker at most.
-TABLE_PAIRS = 2_000_000
+TABLE_PAIRS = 400_000
 END = "\n"  # stands for the end-of-word mark in the trie; never a byte-level letter
 
 RESULT = "n_tokens bigint, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one call of a Python operator sees at most (a longer text comes alone).
 BATCH_BYTES = 4_000_000
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+
 #: ASCII white space as the word rules of the operators define it.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,6 +57,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on: whole texts cross, and a batch must fit beside others."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def pieces(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts have about BATCH_BYTES together."""
     ends = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False).astype(float)))
@@ -78,20 +88,25 @@ def annotate(
     texts (None for null) to columns, by the names of the DDL ``result``.
     The kept columns cross Python untouched, so that no join is needed.
     """
+    bounded_batches(df.sparkSession)
+    place = keep.index(text) if isinstance(text, str) and text in keep else None  # then the text crosses once, among the kept columns
     text = F.col(text) if isinstance(text, str) else text
-    inner = df.select(F.struct(*[df[c] for c in keep]).alias("k"), text.alias("t"))
+    inner = df.select(F.struct(*[df[c] for c in keep]).alias("k"), (text if place is None else F.lit(None).cast("string")).alias("t"))
     kept = inner.schema["k"].dataType.simpleString()
     kind = _arrow_types(result)  # parsed here: workers have no session
 
+    def texts_of(batch):
+        return batch.column(1) if place is None else batch.column(0).field(place)
+
     def run(batches):
         work = make()
         for batch in batches:
-            t = batch.column(1)
-            for part in pieces(batch, pc.binary_length(t)):
-                found = work(part.column(1).to_pylist())
+            for part in pieces(batch, pc.binary_length(texts_of(batch))):
+                found = work(texts_of(part).to_pylist())
                 arrays = [pa.array(found[n], type=kind[n]) for n in kind]
                 out = pa.StructArray.from_arrays(arrays, names=list(kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=["k", "r"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     names = [f.name for f in _fields(result)]
     return (

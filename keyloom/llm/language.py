@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import annotate
 
 #: Bounds of the training sample: texts of a language, and characters used of each (from its middle).
-SAMPLE_TEXTS = 60
-SAMPLE_CHARS = 600
+SAMPLE_TEXTS = 40
+SAMPLE_CHARS = 500
 BLOCK = 256
 UNKNOWN = "und"
 SPACE = 1  # codes: 0 ends a block without a step, 1 is any run of non-letters, letters follow, the last is any other letter
@@ -82,9 +82,10 @@ class CrossParser:
             table = self._automaton([int(c) for c in codes])
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(codes))))
-            tables.append(np.where(table >= 0, table + base, -1))
+            table[table >= 0] += base
+            tables.append(table)
             base += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def _automaton(self, codes: list[int]) -> np.ndarray:
         """Rows of states; code 0 keeps the state. The suffix automaton grows by one letter at a time."""
@@ -113,7 +114,7 @@ class CrossParser:
                         arcs[at][c] = twin
                         at = link[at]
             last = new
-        table = np.full((len(arcs), self.width), -1, np.int64)
+        table = np.full((len(arcs), self.width), -1, np.int32)
         table[:, 0] = np.arange(len(arcs))
         for s, own in enumerate(arcs):
             for c, to in own.items():
@@ -131,8 +132,8 @@ class CrossParser:
             nxt = self.table[state * self.width + letter]
             stuck = np.flatnonzero(nxt < 0)
             if len(stuck):
-                count[stuck] += 1
                 again = self.table[roots[stuck] * self.width + letter[stuck]]
+                count[stuck] += (state[stuck] != roots[stuck]).astype(np.int32) + (again < 0)
                 nxt[stuck] = np.where(again < 0, roots[stuck], again)  # a letter that the language lacks is a phrase alone
             state = nxt
         count += state != roots
