@@ -66,14 +66,15 @@ def find_hits(
         if small:  # the hash set goes with the plan, and only windows that are in it leave their row
             hashes = {r["hash"] for r in known.select("hash").collect()}
             places = F.array_compact(F.transform(_starts("w", size), lambda i: F.when(_in(F.xxhash64(F.slice(F.col("w"), i, F.lit(size))), hashes), i)))
-            scanned = own.select("doc_id", "text_hash", "w", places.alias("p")).where(F.size("p") > 0)
+            scanned = own.select("doc_id", "text_hash", "w", places.alias("p"))
         else:  # (place, hash) of every window meets the benchmark's in a shuffle; the words follow for documents that hit
             rows = own.select("doc_id", "text_hash", F.posexplode(F.transform(_starts("w", size), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(size))))).alias("at", "hash"))
             met = rows.join(known.select("hash").distinct(), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("at") + 1).alias("p"))
             met = met.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "p")
             scanned = own.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "w", "p")
         grams = F.transform("p", lambda i: F.struct((i - 1).alias("at"), F.slice(F.col("w"), i, F.lit(size)).alias("gram")))
-        found = scanned.select("doc_id", "text_hash", F.explode(grams).alias("g"))
+        # an inner explode would infer a filter, whose lambda would split the text again for every window
+        found = scanned.select("doc_id", "text_hash", F.explode_outer(grams).alias("g"))
         known = known.select(F.col("gram").alias("known"), "items")
         known = F.broadcast(known) if small else known
         found = found.join(known, F.col("g.gram") == F.col("known"))  # word by word
