@@ -11,10 +11,14 @@ of which at most k can differ, so similar sets share at least one signature. A s
 too few non-empty partitions signs them all and one mark besides, shared by such sets.
 
 Sets that are equal become one class first. In each bucket of a signature the members are compared
-with one member only (a star), so that the candidates grow with the signatures and not
-with the squares of the buckets. Where members of one bucket are still in
-different components, stars around other members follow as long as the pairs left
-outnumber the signatures, and then every pair left between components is verified. Nothing is capped.
+with one member (a star), which joins large groups of copies with few comparisons. Where
+members of one bucket are still in different components, all pairs between
+components are compared inside the bucket, in blocks of BLOCK members: at first only a
+minimum spanning forest of the pairs that may be similar leaves the task, which joins large groups, and then
+every such pair between the components that are left. Pairs are compared by sketches first: the features
+are dealt into cells, one byte of each cell's sum is kept, and the cells that differ are a lower
+bound of the features that differ, so that no similar pair is lost. What
+passes is verified with the texts. Nothing is capped.
 
 Rows: one for each input row. Null and empty texts have no set and link with nothing;
 component_id is then doc_id. Rows with equal ids are one document in the graph. A null
@@ -24,6 +28,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -39,8 +44,8 @@ SHINGLE = 4
 SIMILAR = (85, 100)
 #: Ids that are broadcast at most to pick the texts that are verified.
 BROADCAST_IDS = 1_000_000
-#: Stars around other members before all pairs left are verified, at most.
-STARS = 4
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -143,6 +148,80 @@ class Scheme:
         return np.concatenate(out)
 
 
+def cells_of(n: int) -> int:
+    """Cells of the sketch of a set of n."""
+    return 1 << max(2, (n - 1).bit_length() - 1)
+
+
+def sketch(features: np.ndarray) -> bytes:
+    """One byte of the sum of the features in each cell."""
+    if not len(features):
+        return b""
+    cells = cells_of(len(features))
+    spread = mix(features + np.uint64(77))
+    at = spread >> np.uint64(64 - cells.bit_length() + 1)
+    return np.bincount(at.astype(np.int64), weights=(spread & np.uint64(255)).astype(float), minlength=cells).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def fold_to(sketch_bytes: bytes, cells: int) -> np.ndarray:
+    """The sketch with fewer cells: neighbours are added."""
+    own = np.frombuffer(sketch_bytes, np.uint8)
+    return own.reshape(cells, -1).sum(axis=1, dtype=np.uint8)
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bool:
+    cells = min(len(a), len(b))
+    return int((fold_to(a, cells) != fold_to(b, cells)).sum()) <= (den - num) * (n + m) // (den + num)
+
+
+def compare_bucket(
+    ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, sketches: list[bytes], num: int, den: int, halves: np.ndarray | None = None, forest: bool = False
+) -> list[tuple[int, int]]:
+    """Pairs (x, y), x < y, of different parts that may be similar; with ``halves`` only pairs between the two.
+
+    With ``forest`` only those that join parts, the most alike first.
+    """
+    cells = min(map(len, sketches))
+    table = np.stack([fold_to(s, cells) for s in sketches])
+    left, right, apart = [], [], []
+    for i in range(len(ids) - 1):
+        other = (parts[i + 1 :] != parts[i]) & (ids[i + 1 :] != ids[i])
+        if halves is not None:
+            other &= halves[i + 1 :] != halves[i]
+        most = (den - num) * (sizes[i] + sizes[i + 1 :]) // (den + num)
+        other &= np.abs(sizes[i + 1 :] - sizes[i]) <= most
+        j = np.flatnonzero(other)
+        if not len(j):
+            continue
+        differ = np.count_nonzero(table[i + 1 + j] != table[i], axis=1)
+        near = differ <= most[j]
+        if near.any():
+            right.append(j[near] + i + 1)
+            left.append(np.full(len(right[-1]), i))
+            apart.append(differ[near])
+    if not left:
+        return []
+    x, y, d = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+    if forest:
+        parts = np.unique(parts, return_inverse=True)[1]
+        root = list(range(int(parts.max()) + 1))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        keep = []
+        for k in np.argsort(d, kind="stable"):
+            a, b = find(int(parts[x[k]])), find(int(parts[y[k]]))
+            if a != b:
+                root[a] = b
+                keep.append(k)
+        x, y = x[keep], y[keep]
+    return [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in zip(x, y, strict=True)]
+
+
 def fingerprint(features: np.ndarray) -> tuple[int, int]:
     """Two numbers that tell sets apart."""
     if not len(features):
@@ -168,6 +247,39 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def compare_runs(batches, num: int, den: int, forest: bool = False):
+    """``compare_bucket`` for each run of equal (sig, i, j) in sorted rows; a run that a batch leaves open waits for the next."""
+    held: pa.Table | None = None
+
+    def work(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        ids, sizes, own = (table.column(c).to_numpy() for c in ("sid", "n", "own"))
+        parts = np.unique(table.column("c").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        sketches = table.column("sketch").to_pylist()
+        out: list[tuple[int, int]] = []
+        for a, b in zip(first, [*first[1:], len(ids)], strict=True):
+            halves = own[a:b] if i[a] != j[a] else None
+            out += compare_bucket(ids[a:b], sizes[a:b], parts[a:b], sketches[a:b], num, den, halves, forest)
+        pairs = set(out)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+    def starts(table: pa.Table) -> np.ndarray:
+        keys = [table.column(c).to_numpy() for c in ("sig", "i", "j")]
+        return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        first = starts(held)
+        if len(first) > 1:
+            yield work(held.slice(0, first[-1]).combine_chunks(), first[:-1])
+            held = held.slice(first[-1]).combine_chunks()
+    if held is not None:
+        yield work(held.combine_chunks(), starts(held))
+
+
 def link_documents(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR, size: int = SHINGLE
 ) -> DataFrame:
@@ -181,27 +293,45 @@ def link_documents(
             sets = shingle_sets(texts, size)
             prints = [fingerprint(s) for s in sets]
             signed = [scheme.signatures(s).view(np.int64) for s in sets]
-            return {"n": [len(s) for s in sets], "sid": [p[0] for p in prints], "more": [p[1] for p in prints], "sigs": signed}
+            return {"n": [len(s) for s in sets], "sid": [p[0] for p in prints], "more": [p[1] for p in prints], "sigs": signed, "sketch": [sketch(s) for s in sets]}
 
         return work
 
-    table = materialise(annotate(docs, ["doc_id"], "text", make, "n bigint, sid bigint, more bigint, sigs array<bigint>"))
+    table = materialise(annotate(docs, ["doc_id"], "text", make, "n bigint, sid bigint, more bigint, sigs array<bigint>, sketch binary"))
+    # equal sets have equal sketches, so any of a class will do
     classes = materialise(table.where("n > 0").groupBy("sid", "more", "n").agg(F.min("doc_id").alias("rep")))
 
     signed = table.select("sid", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("sig")
     members = materialise(signed.join(shared, "sig").groupBy("sig", "sid").agg(F.lit(1).alias("one")).select("sig", "sid"))
+    # sketches of the sets that are in shared buckets at all
+    ids = materialise(members.select("sid").distinct())
+    drawn = table.select("sid", "n", "sketch").join(F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids, "sid", "left_semi")
+    sketches = materialise(drawn.groupBy("sid").agg(F.min(F.struct("n", "sketch")).alias("s")).select("sid", "s.n", "s.sketch"))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) of sids whose sketches do not rule them out."""
+        one = sketches.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("sketch").alias("s_x"))
+        two = sketches.select(F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("sketch").alias("s_y"))
+        near = pairs.join(one, "x").join(two, "y").where(f"{den} * least(n_x, n_y) >= {num} * greatest(n_x, n_y)").select("x", "y", "n_x", "n_y", "s_x", "s_y")
+
+        def run(batches):
+            for batch in batches:
+                n, m, a, b = (batch.column(i).to_pylist() for i in range(2, 6))
+                ok = [may_be_similar(p, q, i, j, num, den) for p, q, i, j in zip(a, b, n, m, strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+        return near.mapInArrow(run, "x bigint, y bigint")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links (a, b), a < b, between representatives among pairs (x, y) of sids."""
-        one = classes.select(F.col("sid").alias("x"), F.col("rep").alias("rep_x"), F.col("n").alias("n_x"))
-        two = classes.select(F.col("sid").alias("y"), F.col("rep").alias("rep_y"), F.col("n").alias("n_y"))
-        near = pairs.join(one, "x").join(two, "y").where(f"{den} * least(n_x, n_y) >= {num} * greatest(n_x, n_y) and rep_x <> rep_y")
+        one = classes.select(F.col("sid").alias("x"), F.col("rep").alias("rep_x"))
+        two = classes.select(F.col("sid").alias("y"), F.col("rep").alias("rep_y"))
+        near = pairs.join(one, "x").join(two, "y").where("rep_x <> rep_y")
         near = materialise(near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
-        texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-        texts = materialise(texts)
+        wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        wanted = F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted
+        texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"))
         joined = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a")
         joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
 
@@ -216,40 +346,30 @@ def link_documents(
                         ok.append(den * common >= num * (len(s) + len(u) - common))
                     yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        return joined.mapInArrow(check, near.schema)
-
-    def placed(components: DataFrame) -> DataFrame:
-        """Members of buckets with their present component."""
-        at = classes.join(components, F.col("rep") == F.col("v"), "left").groupBy("sid").agg(F.min(F.coalesce("c", "rep")).alias("c"))
-        return members.join(at, "sid")
+        return materialise(joined.mapInArrow(check, near.schema))
 
-    # the first star: every bucket around the same few members, those first in a fixed order
+    # every bucket around one member; the same few members are the centres of most buckets of a group
     centre = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid").alias("o"), F.col("sid").alias("y"))).alias("m")).select("sig", "m.y")
     star = members.join(centre, "sig").where("sid <> y").select(F.least("sid", "y").alias("x"), F.greatest("sid", "y").alias("y")).distinct()
-    links = materialise(verify(star))
+    links = verify(sketched(star))
     components = connected(links)
-    for turn in range(1, STARS + 1):
-        by_part = placed(components).groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
-        by_sig = by_part.groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("parts"))
-        open_ = materialise(by_sig.where("parts > 1"))
-        left = open_.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not left["pairs"]:
-            break
-        here = materialise(placed(components).join(open_.select("sig"), "sig"))
-        if turn < STARS and left["pairs"] > 3 * left["rows"]:
-            order = F.struct(F.xxhash64("sid", F.lit(turn)).alias("o"), F.col("sid").alias("y"), F.col("c").alias("d"))
-            centre = here.groupBy("sig").agg(F.min(order).alias("m")).select("sig", "m.y", "m.d")
-            found = here.join(centre, "sig").where("c <> d")
-            last = False
-        else:
-            other = here.select("sig", F.col("sid").alias("y"), F.col("c").alias("d"))
-            found = here.join(other, "sig").where("c < d")
-            last = True
-        more = verify(found.select(F.least("sid", "y").alias("x"), F.greatest("sid", "y").alias("y")).distinct())
-        links = materialise(links.unionByName(more))
-        components = connected(links)
-        if last:
-            break
+
+    # buckets of three or more that are still in several components, all pairs between components
+    for forest in (True, False):
+        at = classes.join(components, F.col("rep") == F.col("v"), "left").groupBy("sid").agg(F.min(F.coalesce("c", "rep")).alias("c"))
+        here = members.join(materialise(at), "sid")
+        open_ = here.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("p"), F.max("c").alias("q")).where("k > 2 and p < q").select("sig", "k")
+        blocks = F.ceil(F.col("k") / BLOCK).cast("bigint")
+        placed = here.join(open_, "sig").select("sig", "sid", "c", F.pmod(F.xxhash64("sid", "sig"), blocks).alias("own"), blocks.alias("blocks"))
+        dealt = placed.select("sig", "sid", "c", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("sig", "sid", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        dealt = dealt.join(sketches, "sid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        run = functools.partial(compare_runs, num=num, den=den, forest=forest)
+        found = dealt.select("sig", "i", "j", "sid", "n", "c", "own", "sketch").mapInArrow(run, "x bigint, y bigint")
+        more = verify(found.distinct())
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            components = connected(links)
 
     final = classes.join(components, F.col("rep") == F.col("v"), "left").select(
         F.col("sid").alias("s"), F.col("more").alias("m"), F.col("n").alias("k"), F.coalesce("c", "rep").alias("component_id")
