@@ -10,7 +10,9 @@ extended right and left. Together they must reach ``min_words``. Passages of a d
 overlap are merged.
 
 Suffixes that share first words in over GROUP_ROWS places are dealt over several tasks
-by a hash of the place (of about GROUP_ROWS each), since a passage that common has neighbours in all of them.
+by a hash of the place (of about GROUP_ROWS each). There they are not compared: each gives the passages of
+``min_words`` whose minimiser it is, which are counted by content over all tasks, so that two
+places with the same passage meet however common their first words are.
 Words are compared as 32-bit hashes (lower case a-z), so that a border may be off where two words collide.
 
 Rows: one for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words,
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +37,27 @@ MIN_WORDS = 50
 GRAM = 16
 GROUP_ROWS = 4096
 CHUNK_ROWS = 16_384
+OWN = 1 << 12  # two small numbers in one
+NAMES = ["doc_id", "at", "s", "e", "match_id", "h", "run", "w"]
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def kept_suffixes(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of minimisers and the hashes of the ``gram`` words from there."""
+def kept_suffixes(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of minimisers, the hashes of the ``gram`` words from there, and of the passages whose minimiser it is (they follow each other)
+    how far before the place the first begins and how many there are."""
     window = min_words - gram + 1
     if len(words) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(words) - gram + 1
     h = np.zeros(n, np.uint64)
     for k in range(gram):
         h = h * _MULTIPLIER + words[k : k + n]
     h = mix(h)
     view = np.lib.stride_tricks.sliding_window_view(h, window)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return at, h[at]
+    least = view.argmin(axis=1) + np.arange(len(view))  # never falls
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    at = least[first]
+    return at, h[at], at - first, np.diff(first, append=len(least))
 
 
 def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -60,14 +68,15 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
         def work(texts):
             hashes, at = word_hashes(texts)
             kept = [kept_suffixes(hashes[a:b], min_words, gram) for a, b in zip(at, at[1:], strict=False)]
-            return {"at": [k[0].astype(np.int32) for k in kept], "h": [k[1].view(np.int64) for k in kept]}
+            own = [(k[2] * OWN + k[3]).astype(np.int32) for k in kept]
+            return {"at": [k[0].astype(np.int32) for k in kept], "h": [k[1].view(np.int64) for k in kept], "own": own}
 
         return work
 
-    kept = materialise(annotate(docs, ["doc_id"], "text", make, "at array<int>, h array<bigint>").where("size(at) > 0"))
-    suffixes = kept.select("doc_id", F.explode(F.arrays_zip("at", "h")).alias("x")).select("doc_id", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+    kept = materialise(annotate(docs, ["doc_id"], "text", make, "at array<int>, h array<bigint>, own array<int>").where("size(at) > 0"))
+    suffixes = kept.select("doc_id", F.explode(F.arrays_zip("at", "h", "own")).alias("x")).select("doc_id", "x.at", "x.h", "x.own")
     shared = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = suffixes.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", "n")).alias("x"))
+    places = suffixes.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", "n", "own")).alias("x"))
     todo = docs.join(places, "doc_id").select("doc_id", "text", "x")
 
     def around(batches):
@@ -94,19 +103,25 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(
                     [
                         flat.field("h").slice(lo, hi - lo), flat.field("n").slice(lo, hi - lo), part.column(0).take(pa.array(own)),
-                        pa.array(pos.astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)),
+                        pa.array(pos.astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), flat.field("own").slice(lo, hi - lo),
                         pa.array([r.tobytes() for r in rows], pa.binary()),
                     ],
-                    names=["h", "n", "doc_id", "at", "n_left", "n_right", "words"],
+                    names=["h", "n", "doc_id", "at", "n_left", "n_right", "own", "words"],
                 )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, at int, n_left int, n_right int, words binary")
+    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, at int, n_left int, n_right int, own int, words binary")
     deal = F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / GROUP_ROWS).cast("bigint"))
-    dealt = known.withColumn("deal", deal).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
-    found = dealt.select("h", "deal", "doc_id", "at", "n_left", "n_right", "words").mapInArrow(
-        lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, s int, e int, match_id {id_kind}"
+    dealt = known.withColumn("deal", deal).withColumn("hot", F.col("n") > GROUP_ROWS).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
+    compared = materialise(
+        dealt.select("h", "deal", "hot", "doc_id", "at", "n_left", "n_right", "own", "words").mapInArrow(
+            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, w array<bigint>"
+        )
     )
+    found = compared.where("w is null").select("doc_id", "s", "e", "match_id")
+    common = compared.where("w is not null").select("doc_id", "s", "h", "run", "w")
+    if common.limit(1).count():
+        found = found.unionByName(_repeated(common, min_words))
     # matched stretches of a document, merged where they touch
     order = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,8 +132,37 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     ).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_id", "matches")
 
 
+def _repeated(places: DataFrame, min_words: int) -> DataFrame:
+    """Of ``places`` (w: hashes of the passages one after another, run: of all of them) the stretch whose passages stand at other places too.
+
+    Equal runs are counted before their passages are, and each place meets its run once. The other document
+    is the smallest, or the largest for the smallest itself.
+    """
+    runs = places.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("w").alias("w"))
+    passages = materialise(runs).select("h", "run", "n", "low", "high", F.posexplode("w").alias("k", "word"))
+    counts = passages.groupBy("h", "word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counts = materialise(counts.where("n > 1").drop("n"))  # then the joins read plain exchanges, whose large keys can be split
+    hits = passages.select("h", "run", "k", "word").join(counts, ["h", "word"]).groupBy("h", "run")
+    hits = materialise(hits.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")))
+    other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
+    return places.drop("w").join(hits, ["h", "run"]).select(
+        "doc_id", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("last") + min_words).alias("e"), other.alias("match_id")
+    )
+
+
+def windows_of(words: np.ndarray, own: np.ndarray, min_words: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every passage of ``min_words`` a place stands for: the row of the place, how far before the place it begins, a hash of its words."""
+    back, count = own // OWN, own % OWN
+    row = np.repeat(np.arange(len(own)), count)
+    before = back[row] - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    power = np.cumprod(np.full(words.shape[1], _MULTIPLIER), dtype=np.uint64)
+    sums = np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(words.astype(np.uint64) * power, axis=1, dtype=np.uint64)], axis=1)
+    begin = left - before
+    return row, before, mix(sums[row, begin + min_words] - sums[row, begin] + mix(before.astype(np.uint64)))
+
+
 def compare(batches, left: int, right: int, min_words: int):
-    """Matches between neighbours in each run of equal (h, deal); the last run of a chunk waits for the next batch."""
+    """Matches between neighbours in each run of equal (h, deal), the passages of hot runs; the last run of a chunk waits for the next batch."""
     held = []
 
     def runs(table: pa.Table):
@@ -126,7 +170,31 @@ def compare(batches, left: int, right: int, min_words: int):
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (deal[1:] != deal[:-1])])
         return fresh
 
+    def passages(table: pa.Table):
+        words = np.frombuffer(b"".join(table.column("words").to_pylist()), ">u4").reshape(table.num_rows, left + right)
+        own = table.column("own").to_numpy().astype(np.int64)
+        row, before, w = windows_of(words, own, min_words, left)
+        begin = (table.column("at").to_numpy() - own // OWN).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(own % OWN)])
+        run = mix(np.add.reduceat(mix(w + before.astype(np.uint64)), starts[:-1]) + own.astype(np.uint64))
+        ids = table.column("doc_id").combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [
+                ids, table.column("at").combine_chunks(), pa.array(begin), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), ids.type),
+                table.column("h").combine_chunks(), pa.array(run.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w.view(np.int64))),
+            ],
+            names=NAMES,
+        )
+
     def work(table: pa.Table):
+        hot = table.filter(table.column("hot"))
+        for start in range(0, hot.num_rows, CHUNK_ROWS):
+            yield passages(hot.slice(start, CHUNK_ROWS).combine_chunks())
+        cold = table.filter(pc.invert(table.column("hot")))
+        if cold.num_rows:
+            yield from neighbours(cold.combine_chunks())
+
+    def neighbours(table: pa.Table):
         fresh = runs(table)
         group = np.cumsum(fresh)
         n = len(group)
@@ -153,8 +221,11 @@ def compare(batches, left: int, right: int, min_words: int):
             for a, b in ((i, j), (j, i)):
                 out.append(
                     pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(a)), pa.array((at[a] - back).astype(np.int32)), pa.array((at[a] + far).astype(np.int32)), ids.take(pa.array(b))],
-                        names=["doc_id", "s", "e", "match_id"],
+                        [
+                            ids.take(pa.array(a)), pa.array(at[a].astype(np.int32)), pa.array((at[a] - back).astype(np.int32)), pa.array((at[a] + far).astype(np.int32)),
+                            ids.take(pa.array(b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.list_(pa.int64())),
+                        ],
+                        names=NAMES,
                     )
                 )
         return out

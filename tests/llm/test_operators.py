@@ -232,6 +232,26 @@ def test_suffix_dedup_deals_large_groups(spark, monkeypatch):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == {(i, i % 7 + 3, i % 7 + 63) for i in range(40)}
 
 
+def passages_of(spark, rows):
+    """doc_id -> places in the repeated passages found."""
+    got = defaultdict(set)
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    return dict(got)
+
+
+def test_suffix_dedup_finds_rare_passages_around_a_common_line(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_ROWS", 20)
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(40)) + f" {line} " + " ".join(f"x{i}z{k}" for k in range(40))) for i in range(300)]
+    for i in range(0, 120, 2):  # 60 words around the line that only two documents share
+        around = [" ".join(f"p{i}q{k}" for k in range(a, a + 20)) for a in (0, 20)]
+        rows += [(1000 + i + k, f"a{i}b{k} {around[0]} {line} {around[1]} c{i}d{k}") for k in range(2)]
+    want = covered_places(rows)
+    assert len(want) == 120
+    assert passages_of(spark, rows) == want
+
+
 # ---- 5 ---------------------------------------------------------------------------
 
 URLS = [
