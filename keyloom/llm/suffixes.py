@@ -4,19 +4,18 @@ Of all suffixes (one for each word) those are kept that start at a content-selec
 minimiser: the smallest hash of GRAM words among WINDOW in a row. GRAM + WINDOW - 1 is
 ``min_words``, so every passage of that many words holds a kept suffix, the same one in all
 its copies. Suffixes whose first GRAM words occur once are dropped after a count; the
-others go, with the words around them, to the task of their first words, are sorted there by
-what follows and again by what precedes, and each is compared with its neighbours and
-extended right and left. Together they must reach ``min_words``. Passages of a document that touch or
-overlap are merged.
+others go, with the words around them, to the task of their first words. Each stands there for the
+passages of ``min_words`` whose minimiser it is; these are sorted, and those that occur twice
+are reported. Passages of a document that touch or overlap are merged.
 
 Suffixes that share first words in over GROUP_ROWS places are dealt over several tasks
 by a hash of the place (of about GROUP_ROWS each). There they are not compared: each gives the passages of
 ``min_words`` whose minimiser it is, which are counted by content over all tasks, so that two
 places with the same passage meet however common their first words are.
-Words are compared as 32-bit hashes (lower case a-z), so that a border may be off where two words collide.
+Words are compared as 32-bit hashes (lower case a-z) and passages as 64-bit hashes beside those of their first words.
 
 Rows: one for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words,
-match_id (a document with the same passage, the smallest seen), matches (places compared). Null
+match_id (a document with a passage in it, the smallest, but the largest for the smallest itself), matches (places that share a passage). Null
 and empty texts have none; rows without an id are left out, as results go by id;
 a repeated row repeats all passages of min_words. Very long texts are read whole. Empty tables give
 empty results; extra columns are ignored.
@@ -93,28 +92,26 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
                     continue
                 lo, hi = offsets[0], offsets[-1]
                 pos = flat.field("at").to_numpy()[lo:hi].astype(np.int64)
-                begin, end = at[:-1][own], at[1:][own]
-                centre = begin + pos
+                centre = at[:-1][own] + pos
                 padded = np.concatenate([np.zeros(left, np.uint32), words, np.zeros(right, np.uint32)])
                 index = centre[:, None] + np.arange(left + right)[None, :]  # in padded: left words before, right words from the place on
                 context = padded[index]
-                n_left, n_right = np.minimum(left, pos), np.minimum(right, end - centre)
                 rows = context.astype(">u4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         flat.field("h").slice(lo, hi - lo), flat.field("n").slice(lo, hi - lo), part.column(0).take(pa.array(own)),
-                        pa.array(pos.astype(np.int32)), pa.array(n_left.astype(np.int32)), pa.array(n_right.astype(np.int32)), flat.field("own").slice(lo, hi - lo),
+                        pa.array(pos.astype(np.int32)), flat.field("own").slice(lo, hi - lo),
                         pa.array([r.tobytes() for r in rows], pa.binary()),
                     ],
-                    names=["h", "n", "doc_id", "at", "n_left", "n_right", "own", "words"],
+                    names=["h", "n", "doc_id", "at", "own", "words"],
                 )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, at int, n_left int, n_right int, own int, words binary")
+    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, at int, own int, words binary")
     deal = F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / GROUP_ROWS).cast("bigint"))
     dealt = known.withColumn("deal", deal).withColumn("hot", F.col("n") > GROUP_ROWS).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
     compared = materialise(
-        dealt.select("h", "deal", "hot", "doc_id", "at", "n_left", "n_right", "own", "words").mapInArrow(
+        dealt.select("h", "deal", "hot", "doc_id", "at", "own", "words").mapInArrow(
             lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, w array<bigint>"
         )
     )
@@ -162,7 +159,7 @@ def windows_of(words: np.ndarray, own: np.ndarray, min_words: int, left: int) ->
 
 
 def compare(batches, left: int, right: int, min_words: int):
-    """Matches between neighbours in each run of equal (h, deal), the passages of hot runs; the last run of a chunk waits for the next batch."""
+    """What is repeated in each run of equal (h, deal), the passages of hot runs; the last run of a chunk waits for the next batch."""
     held = []
 
     def runs(table: pa.Table):
@@ -192,43 +189,43 @@ def compare(batches, left: int, right: int, min_words: int):
             yield passages(hot.slice(start, CHUNK_ROWS).combine_chunks())
         cold = table.filter(pc.invert(table.column("hot")))
         if cold.num_rows:
-            yield from neighbours(cold.combine_chunks())
+            yield from repeats(cold.combine_chunks())
 
-    def neighbours(table: pa.Table):
-        fresh = runs(table)
-        group = np.cumsum(fresh)
-        n = len(group)
-        data = b"".join(table.column("words").to_pylist())
-        words = np.frombuffer(data, ">u4").reshape(n, left + right)
+    def repeats(table: pa.Table):
+        group = np.cumsum(runs(table)).astype(np.int64)
+        words = np.frombuffer(b"".join(table.column("words").to_pylist()), ">u4").reshape(len(group), left + right)
+        row, before, w = windows_of(words, table.column("own").to_numpy().astype(np.int64), min_words, left)
         ids = table.column("doc_id").combine_chunks()
-        at = table.column("at").to_numpy().astype(np.int64)
-        n_left, n_right = table.column("n_left").to_numpy(), table.column("n_right").to_numpy()
-        after, before = words[:, left:], words[:, left - 1 :: -1] if left else words[:, :0]
-        mine = group.astype(">u8").view(np.uint8).reshape(n, 8)
-        out = []
-        for first, second in ((after, before), (before, after)):
-            key = np.concatenate([mine, np.ascontiguousarray(first).view(np.uint8).reshape(n, -1), np.ascontiguousarray(second).view(np.uint8).reshape(n, -1)], axis=1)
-            order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
-            i, j = order[:-1], order[1:]
-            same = group[i] == group[j]
-            i, j = i[same], j[same]
-            if not len(i):
-                continue
-            far = _common(after[i], after[j], np.minimum(n_right[i], n_right[j]))
-            back = _common(before[i], before[j], np.minimum(n_left[i], n_left[j]))
-            long = far + back >= min_words
-            i, j, far, back = i[long], j[long], far[long], back[long]
-            for a, b in ((i, j), (j, i)):
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(a)), pa.array(at[a].astype(np.int32)), pa.array((at[a] - back).astype(np.int32)), pa.array((at[a] + far).astype(np.int32)),
-                            ids.take(pa.array(b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.list_(pa.int64())),
-                        ],
-                        names=NAMES,
-                    )
-                )
-        return out
+        distinct = ids.unique()
+        distinct = distinct.take(pc.sort_indices(distinct))
+        rank = pc.index_in(ids, distinct).to_numpy().astype(np.int64)
+        order = np.lexsort((w, group[row]))
+        row, before, w = row[order], before[order], w[order]
+        fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (group[row[1:]] != group[row[:-1]])])
+        first = np.flatnonzero(fresh)
+        low, high = np.minimum.reduceat(rank[row], first), np.maximum.reduceat(rank[row], first)
+        size = np.diff(first, append=len(row))
+        of = np.cumsum(fresh) - 1
+        twice = size[of] > 1
+        row, before, of = row[twice], before[twice], of[twice]
+        if not len(row):
+            return
+        order = np.argsort(row, kind="stable")
+        row, before, of = row[order], before[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        mine = row[first]
+        at = table.column("at").to_numpy().astype(np.int64)[mine]
+        start, end = at - np.maximum.reduceat(before, first), at - np.minimum.reduceat(before, first) + min_words  # all hold the place
+        low, high = np.minimum.reduceat(low[of], first), np.maximum.reduceat(high[of], first)
+        other = np.where(low != rank[mine], low, high)
+        none = len(mine)
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(mine)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), distinct.take(pa.array(other)),
+                pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())),
+            ],
+            names=NAMES,
+        )
 
     rows = 0
     for batch in batches:
@@ -245,12 +242,3 @@ def compare(batches, left: int, right: int, min_words: int):
             held, rows = rest.to_batches(), rest.num_rows
     if held:
         yield from work(pa.Table.from_batches(held).combine_chunks())
-
-
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Equal words from the first on, at most ``most``."""
-    if not a.shape[1]:
-        return np.zeros(len(a), np.int64)
-    differ = a != b
-    first = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-    return np.minimum(first, most)

@@ -252,6 +252,24 @@ def test_suffix_dedup_finds_rare_passages_around_a_common_line(spark, monkeypatc
     assert passages_of(spark, rows) == want
 
 
+def test_suffix_dedup_finds_a_passage_that_nearer_rows_hide(spark):
+    rng = random.Random(4)
+    own = lambda n: [f"u{rng.randint(0, 10**12)}" for _ in range(n)]
+    rows = []
+    while len(rows) < 6 * 20:  # the first two of six rows share 53 words; with others the first shares more on one side, and under 50 in all
+        left, line, right = own(25), own(16), own(12)
+        x, y = own(1), own(1)
+        first = own(14) + y + left + line + right + x + own(27)
+        if 40 not in suffixes.kept_suffixes(jaccard.word_hashes([" ".join(first)])[0])[0]:
+            continue  # the minimiser is to be where all six agree
+        group = [first, own(15) + left + line + right + own(28)]
+        group += [own(40) + line + right + x + own(27) for _ in range(2)] + [own(14) + y + left + line + own(40) for _ in range(2)]
+        rows += [(len(rows) + k, " ".join(words)) for k, words in enumerate(group)]
+    want = covered_places(rows)
+    assert sorted(want) == sorted(i for i in range(len(rows)) if i % 6 < 2)
+    assert passages_of(spark, rows) == want
+
+
 # ---- 5 ---------------------------------------------------------------------------
 
 URLS = [
