@@ -27,8 +27,13 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be found go; a missing ``lang`` is filled in."""
+    """Documents in which no language can be found go; a missing ``lang`` is filled in.
+
+    Where no row has a label there is no language to learn; then all documents with a letter stay, and ``lang`` stays null.
+    """
     sample = training_sample(docs, "doc_id", "text", "lang")
+    if not sample:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = identify(docs, sample, keep=docs.columns, lang_out="found_language", score_out="found_score")
     lang = F.coalesce("lang", "found_language").alias("lang")
     return found.where(F.col("found_language") != UNKNOWN).select(*[lang if c == "lang" else c for c in docs.columns])

@@ -43,6 +43,14 @@ def test_stages(spark, folder):
     assert not fourth.where(F.length("text") != F.col("n_chars")).count()
 
 
+def test_language_stage_keeps_documents_without_any_label(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["plain words here", "\u03a3\u03b1\u03c2", None, "", "12 -- 34"])] + [(None, "no id", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r["text"] for r in kept.collect()} == {"plain words here", "\u03a3\u03b1\u03c2", "no id"}
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
