@@ -40,7 +40,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays, once."""
+    """Of every group of linked documents the one with the smallest id stays, once.
+
+    Rows without an id are not compared and stay; of rows that share an id one stays, whatever their texts.
+    """
     linked = link_documents(docs)
     left = _without(docs, linked.where("doc_id <> component_id").select(F.col("doc_id").alias("id")))
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
@@ -52,9 +55,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words five in a hundred or more stand in benchmark windows go."""
-    found = decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("id")))
+    """Documents of whose words five in a hundred or more stand in benchmark windows go, each row by its own text."""
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns).where("not contaminated").select(docs.columns)
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,20 @@ def test_language_stage_keeps_documents_without_any_label(spark):
     assert {r["text"] for r in kept.collect()} == {"plain words here", "\u03a3\u03b1\u03c2", "no id"}
 
 
+def test_benchmark_stage_judges_rows_without_and_with_repeated_ids(spark, folder):
+    taken = next(t for _, t in benchmark_rows() if t and not clean_of(t))
+    rows = [(None, taken), (None, "nothing of it"), (7, taken), (7, "other words"), (8, "more words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.benchmark_stage(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(i, t) for i, t in rows if t != taken}
+
+
+def clean_of(text):
+    words, hit, _ = hits_of(text)
+    return not hit or 20 * len(hit) < len(words)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
