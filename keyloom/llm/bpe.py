@@ -1,12 +1,17 @@
 """BPE encoding and decoding by a tokenization automaton (any style: Python over Arrow).
 
-The automaton reads tokens. Every merge (u, v) -> w changes it by one gadget: the
-state behind u is copied without its v-arc, all u-arcs are led to the copy, and
-wherever a u-arc starts a w-arc is added that ends behind v. After all merges a word
-has one accepting path, and its labels are the tokens. A state is told by the label
-that leads to it, so the whole table would hold |vocabulary|^2 entries (some
-10^9 here); ``TokenAutomaton`` builds the same arcs by replaying the gadgets for a
-pair of labels when it is first met and keeps the answer in its transition table.
+The automaton's arcs bear tokens. It begins with one state and a loop for every letter, and every merge
+(u, v) -> w of rank k changes it by one gadget: the state behind u is copied without
+its v-arc, all u-arcs are led to the copy, and wherever a u-arc starts a w-arc is added that ends
+where v ended. Copies are kept as what they lack: the state behind a label is that of
+its right part as it was before the label's own merge, less the arcs that later gadgets took, so all
+states together hold one entry for each merge (``Gadgets``).
+
+``WordAutomaton`` composes these arcs with the trie of the labels' letters into a deterministic automaton over letters, whose
+transitions are made once, when they are first met, and then read from a table. A prefix of a word has exactly one accepting path, so a state
+is the label that ends there and the places (label before, trie node) at which a longer label may still end. A word is read from left
+to right, one look-up a letter and without a step back; the labels that end at its borders, followed from the
+end, are its tokens. Words of a batch are read side by side. Decoding emits the labels' letters.
 
 Rows: one for each input row. Null text counts as empty: no tokens, empty strings.
 Empty text: the same. Very long texts are cut at pre-token borders only, never
@@ -19,17 +24,22 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Sequence
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import annotate
+from keyloom.llm.common import annotate, hold
 
-#: Words whose path a worker remembers at most; then it starts afresh (bounded memory).
-CACHE_WORDS = 100_000
-#: Pairs in the transition table of a worker at most.
-TABLE_PAIRS = 400_000
-END = "\n"  # stands for the end-of-word mark in the trie; never a byte-level letter
+#: Words whose tokens a worker remembers: some that were met last, twice as many at most with those of the batch before (bounded memory).
+CACHE_WORDS = 50_000
+#: Words that are encoded side by side.
+WORDS = 16_384
+#: States of the transition table in a worker at most, but for those of one call; then it is made afresh.
+STATES = 150_000
+END = 256  # stands for the end-of-word mark; letters are the bytes
+ALWAYS = 1 << 60
 
 RESULT = "n_tokens bigint, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"
 
@@ -42,120 +52,177 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class TokenAutomaton:
-    """Arcs between token labels after all merge gadgets, and a trie from letters to labels."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.suffix = suffix
-        self.names = {i: t for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.born: dict[int, tuple[int, int, int]] = {}
-        for k, (a, b) in enumerate(merges):
-            u, v, w = vocab[a], vocab[b], vocab[a + b]
-            self.rank.setdefault((u, v), k)
-            self.born.setdefault(w, (k, u, v))
-        self.live: dict[int, bool] = {}
-        self.table: dict[int, bool] = {}
-        self.trie: list[dict[str, int]] = [{}]
-        self.label: list[int] = [-1]
-        for name, i in vocab.items():
-            if self._reachable(i):
-                self._add(name, i)
-
-    def _reachable(self, t: int) -> bool:
-        """Whether some path ever bears the label: the v-arc behind u must still stand when the merge comes."""
-        if t not in self.live:
-            if t in self.born:
-                k, u, v = self.born[t]
-                self.live[t] = self._reachable(u) and self._reachable(v) and self._stands(u, v, k)
+class Gadgets:
+    """The token automaton after all merges, by what each gadget took away and added."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        """``merges`` are (u, v, w) by rank."""
+        self.gone: dict[tuple[int, int], int] = {}  # the gadget of this rank took the v-arc from the state behind u
+        self.born: dict[int, tuple[int, int, int]] = {}  # w-arcs stand from this rank on where u-arcs start, and end in the state behind v before it
+        idle: set[int] = set()  # labels that no path bears, as their merge found no arc
+        for k, (u, v, w) in enumerate(merges):
+            alive = not {u, v} & idle and self.stands(u, v, k)
+            self.gone.setdefault((u, v), k)
+            if not alive:
+                if w not in self.born:
+                    idle.add(w)
+            elif w in self.born:
+                raise ValueError(f"two merges make label {w}, so one state cannot stand for it")
             else:
-                self.live[t] = True
-        return self.live[t]
-
-    def _add(self, name: str, i: int) -> None:
-        if self.suffix and name.endswith(self.suffix):
-            name = name[: -len(self.suffix)] + END
-        elif i not in self.born and len(name) != 1:
-            return  # a special token: no path of letters spells it
-        at = 0
-        for c in name:
-            nxt = self.trie[at].get(c)
-            if nxt is None:
-                nxt = len(self.trie)
-                self.trie[at][c] = nxt
-                self.trie.append({})
-                self.label.append(-1)
-            at = nxt
-        self.label[at] = i
-
-    def _stands(self, t: int, x: int, before: int) -> bool:
-        """Whether the x-arc behind t stands when the merges of rank under ``before`` have been made."""
-        rank, born = self.rank, self.born
-        while True:
-            k = rank.get((t, x))
-            if k is not None and k < before:
-                return False  # its own gadget removed it
-            ta, xa = born.get(t), born.get(x)
-            if xa is not None and (ta is None or xa[0] >= ta[0]):
-                before, x = xa[0] + 1, xa[1]  # the arc was added where x's left part started, after that gadget's removal
-            elif ta is not None:
-                before, t = ta[0], ta[2]  # t ends in the state behind its right part, as it was before the gadget
-            else:
-                return True
+                idle.discard(w)
+                self.born[w] = (k, u, v)
 
-    def encode(self, word: str) -> list[int]:
-        """The labels on the accepting path of a non-empty word of byte-level letters."""
-        w = word + END if self.suffix else word
-        n = len(w)
-        path: list[int] = []
-        starts: list[int] = []
-        choices: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        pos, trie, label, table = 0, self.trie, self.label, self.table
-        while pos < n:
-            at, i, here = 0, pos, []
-            while i < n:
-                at = trie[at].get(w[i], -1)
-                if at < 0:
-                    break
-                i += 1
-                if label[at] >= 0:
-                    here.append((label[at], i))
+    def stands(self, t: int, x: int, before: int = ALWAYS) -> bool:
+        """Whether an x-arc leaves the state behind t when the gadgets of rank under ``before`` are made."""
+        state, limit = t, before
+        while True:
+            arc, until = x, before
             while True:
-                prev = path[-1] if path else -1
-                step = None
-                while here:
-                    x, end = here.pop()
-                    if end in dead:
-                        continue
-                    if prev >= 0:
-                        key = prev << 20 | x
-                        ok = table.get(key)
-                        if ok is None:
-                            if len(table) >= TABLE_PAIRS:
-                                table.clear()
-                            ok = table[key] = self._stands(prev, x, 1 << 60)
-                        if not ok:
-                            continue
-                    step = (x, end)
-                    break
-                if step:
+                made = self.born.get(arc)
+                k = self.gone.get((state, arc))
+                # a gadget that took the arc while it was looked at: it comes after the arc and not after what was made from the arc
+                if k is not None and k < limit and k <= until and (made is None or k > made[0]):
+                    return False
+                if made is None:
                     break
-                dead.add(pos)  # no arc leads on from here
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                path.pop()
-                pos = starts.pop()
-                here = choices.pop()
-            path.append(step[0])
-            starts.append(pos)
-            choices.append(here)
-            pos = step[1]
-        return path
-
-    def decode(self, ids: list[int]) -> list[str]:
-        """The arc labels, as text."""
-        return [self.names[i] for i in ids]
+                until, arc = made[0], made[1]
+            came = self.born.get(state)
+            if came is None:
+                return True
+            limit, state = min(limit, came[0]), came[2]
+
+
+class WordAutomaton:
+    """A deterministic automaton over letters: state and letter give the next state by one look-up."""
+
+    def __init__(self, labels: dict[int, tuple[int, ...]], gadgets: Gadgets, states: int = STATES):
+        """``labels`` are the letters of every label that some path bears."""
+        self.gadgets, self.most = gadgets, states
+        self.trie: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        self.inner: set[int] = {0}
+        self.size = np.ones(max(labels, default=0) + 1, np.int64)
+        nodes = 1
+        for i, letters in labels.items():
+            self.size[i] = len(letters)
+            at = 0
+            for c in letters:
+                self.inner.add(at)
+                key = at << 9 | c
+                if key not in self.trie:
+                    self.trie[key] = nodes
+                    nodes += 1
+                at = self.trie[key]
+            self.ends[at] = i
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty table: rows are states, columns letters, -1 where a transition was not met yet."""
+        self.column = np.full(END + 1, -1, np.int64)
+        self.table = np.full((1024, 32), -1, np.int32)
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.last = np.full(1024, -1, np.int32)
+        self._number((0, 0))
+
+    def _number(self, key: tuple[int, ...]) -> int:
+        """Of a state: (label that ends here, then label before and trie node in one number for each open place), labels plus one."""
+        got = self.numbers.get(key)
+        if got is None:
+            got = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            if got == len(self.last):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+            self.last[got] = key[0] - 1
+        return got
+
+    def _step(self, state: int, c: int) -> int:
+        """The transition, made from the places at which a label may still end."""
+        open_, last = [0], 0
+        for place in self.states[state][1:]:
+            before, at = place >> 24, place & 0xFFFFFF
+            to = self.trie.get(at << 9 | c)
+            if to is None:
+                continue
+            label = self.ends.get(to)
+            if label is not None and (not before or self.gadgets.stands(before - 1, label)):
+                last = label + 1
+            if to in self.inner:
+                open_.append(before << 24 | to)
+        if last:
+            open_[0] = last
+            open_.append(last << 24)
+        nxt = self._number(tuple(open_))
+        self.table[state, self.column[c]] = nxt
+        return nxt
+
+    def _columns(self, letters: np.ndarray) -> None:
+        """A column of the table for every letter that has none."""
+        for c in np.unique(letters):
+            if self.column[c] < 0:
+                self.column[c] = self.column.max() + 1
+                if self.column[c] == self.table.shape[1]:
+                    self.table = np.concatenate([self.table, np.full_like(self.table, -1)], axis=1)
+
+    def encode(self, words: Sequence[bytes], mark: bool = False) -> list[list[int]]:
+        """Of non-empty words the labels on their accepting paths; ``mark`` adds the end-of-word mark. All words move on by one letter at a time."""
+        if not words:
+            return []
+        if len(self.states) >= self.most or self.table.size > 256 * self.most:
+            self._clear()
+        n, more = len(words), int(mark)
+        sizes = np.array([len(w) + more for w in words])
+        first = np.cumsum(sizes) - sizes
+        letters = np.full(int(sizes.sum()), END, np.int64)
+        plain = np.frombuffer(b"".join(words), np.uint8)
+        letters[np.arange(len(plain)) + np.repeat(np.arange(n) * more, sizes - more)] = plain
+        self._columns(letters)
+        columns = self.column[letters]
+        order = np.argsort(-sizes, kind="stable")
+        by_size, at = sizes[order], first[order]
+        state = np.zeros(n, np.int64)
+        ends = np.full(len(letters), -1, np.int64)
+        for step in range(int(by_size[0])):
+            m = int(np.searchsorted(-by_size, -step, side="left"))  # words with more letters than ``step``
+            here = at[:m] + step
+            nxt = self.table[state[:m], columns[here]]
+            new = np.flatnonzero(nxt < 0)
+            if len(new):
+                for s, c in np.unique(np.stack([state[new], letters[here[new]]]), axis=1).T:
+                    self._step(int(s), int(c))
+                nxt[new] = self.table[state[new], columns[here[new]]]
+            state[:m] = nxt
+            ends[here] = self.last[nxt]
+        # labels from the end of every word back to its start
+        own, stop = np.arange(n), first + sizes
+        rows, labels = [], []
+        while len(own):
+            label = ends[stop - 1]
+            if (label < 0).any():
+                raise ValueError(f"no path spells {words[own[label < 0][0]]!r}")
+            rows.append(own)
+            labels.append(label)
+            stop = stop - self.size[label]
+            left = stop > first[own]
+            own, stop = own[left], stop[left]
+        row = np.concatenate(rows[::-1])
+        by_word = np.concatenate(labels[::-1])[np.argsort(row, kind="stable")].tolist()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).tolist()
+        return [by_word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", letters: list[str] | None = None) -> WordAutomaton:
+    """The automaton of a vocabulary. ``letters`` are the letters of the bytes; ``suffix`` marks labels that end a word."""
+    gadgets = Gadgets([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+    code = {a: b for b, a in enumerate(letters if letters is not None else byte_letters())}
+    made = {a + b for a, b in merges}
+    spelled = {}
+    for name, i in vocab.items():
+        own, mark = (name[: -len(suffix)], (END,)) if suffix and name.endswith(suffix) else (name, ())
+        if (i in gadgets.born or (name not in made and len(own) == 1)) and all(c in code for c in own):
+            spelled[i] = (*[code[c] for c in own], *mark)  # other names are special tokens, or of merges that never come
+    return WordAutomaton(spelled, gadgets)
 
 
 class WordCodec:
@@ -166,51 +233,72 @@ class WordCodec:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = TokenAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        suffix = model.get("end_of_word_suffix") or ""
+        self.mark = bool(suffix)
+        self.automaton = compile_merges(model["vocab"], merges, suffix)
+        self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.automaton.names.update({i: t for t, i in self.special.items()})
+        self.names.update({i: t for t, i in self.special.items()})
+        self.digits = {i: str(i) for i in self.names}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.marks = [t[:4] for t in self.special]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
-        self.letters = byte_letters()
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
-    def word(self, w: str) -> tuple[int, str, str]:
-        ids = self.automaton.encode("".join([self.letters[b] for b in w.encode("utf-8")]))
-        got = (len(ids), " ".join(map(str, ids)), " ".join(self.automaton.decode(ids)))
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        self.known[w] = got
-        return got
+    def decode(self, ids) -> list[str]:
+        """The arc labels, as text."""
+        return [self.names[i] for i in ids]
 
-    def found(self, text: str) -> list[tuple[int, str, str]]:
-        """For every pre-split word: number of tokens, ids and labels, both joined by spaces."""
-        if any(m in text for m in self.marks):
-            out = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    out.append((1, str(self.special[part]), part))
-                elif part:
-                    out += self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[tuple[int, str, str]]:
+    def learn(self, words: set[str]) -> None:
+        """Encode words that are not known. The words known before the last CACHE_WORDS go, unless they are met again."""
+        if len(self.known) >= CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        new = []
+        for w in words:
+            got = self.older.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                self.known[w] = got
+        for a in range(0, len(new), WORDS):
+            part = new[a : a + WORDS]
+            for w, ids in zip(part, self.automaton.encode([w.encode("utf-8") for w in part], self.mark), strict=True):
+                self.known[w] = (ids, " ".join([self.digits[i] for i in ids]), " ".join(self.decode(ids)))
+
+    def found(self, texts: Sequence[str | None]) -> list[list[tuple[list[int], str, str]]]:
+        """For every pre-split word of every text: ids, and ids and labels joined by spaces."""
+        parts = [self._parts(t or "") for t in texts]
+        missing = {w for words in parts for w in words}
+        missing.difference_update(self.known)
+        if missing:
+            self.learn(missing)
+        get, again = self.known.get, self.older.get
+        return [[get(w) or again(w) for w in words] for words in parts]
+
+    def _parts(self, text: str) -> list[str]:
+        """Pre-split words; special tokens as they are, which no pre-split word is."""
+        if not any(m in text for m in self.marks):
+            return self._plain(text)
+        out = []
+        for part in self.cut.split(text):
+            if part in self.special:
+                self.known[part] = ([self.special[part]], str(self.special[part]), part)
+                out.append(part)
+            elif part:
+                out += self._plain(part)
+        return out
+
+    def _plain(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # letter by letter: no final sigma
-        get, word = self.known.get, self.word
-        return [get(w) or word(w) for w in self.words(text.lower())]
-
-
-_codecs: dict[str, WordCodec] = {}
+        return self.words(text.lower())
 
 
 def codec(file: str) -> WordCodec:
-    if file not in _codecs:
-        _codecs[file] = WordCodec(file)
-    return _codecs[file]
+    return hold(("bpe", file), lambda: WordCodec(file))
 
 
 def encode_documents(
@@ -224,25 +312,23 @@ def encode_documents(
     kinds = dict(x.strip().split(" ") for x in RESULT.split(","))
     wanted = {n: kinds[n] for n in outputs}
 
+    def sha(s: str) -> str:
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    makers = {
+        "n_tokens": lambda found: sum([len(x[0]) for x in found]),
+        "ids": lambda found: [i for x in found for i in x[0]],
+        "decoded": lambda found: " ".join([x[2] for x in found]),
+        "ids_sha256": lambda found: sha(" ".join([x[1] for x in found])),
+        "decoded_sha256": lambda found: sha(" ".join([x[2] for x in found])),
+    }
+
     def make():
         c = codec(file)
 
         def work(texts):
-            out = {n: [] for n in wanted}
-            for t in texts:
-                found = c.found(t or "")
-                ids = " ".join([x[1] for x in found])
-                labels = " ".join([x[2] for x in found])
-                for n, put in out.items():
-                    if n == "n_tokens":
-                        put.append(sum([x[0] for x in found]))
-                    elif n == "ids":
-                        put.append([int(i) for i in ids.split(" ")] if ids else [])
-                    elif n == "decoded":
-                        put.append(labels)
-                    else:
-                        put.append(hashlib.sha256((ids if n == "ids_sha256" else labels).encode()).hexdigest())
-            return out
+            found = c.found(texts)
+            return {n: [makers[n](x) for x in found] for n in wanted}
 
         return work
 

@@ -1,17 +1,16 @@
 """Preference formatting of chosen and rejected conversations (any style; here DataFrame functions).
 
-The longest common prefix of turns is found without sorting a conversation: turns
-are counted by (pair, turn number, role, text) on both sides, and the first turn number
-whose counts differ ends the prefix. Prefix turns are rendered once as the prompt, later ones as
+Turns are gathered by pair and block of BLOCK_TURNS turn numbers, so that many tasks share a long pair, and then by pair, which gives
+both conversations in order. The longest common prefix of turns ends at the first turn number at which
+their (turn number, role, text) differ. Its turns are rendered once as the prompt, later ones as
 the two completions. A completion's mask lists its turns as ``length:flag`` in code
 points, flag 1 where the turn is to be learnt (role assistant) and 0 where it is masked.
 
-Rows: one for each pair and block of BLOCK_TURNS turn numbers (one row for shorter
-conversations). Null texts render as empty, null roles as ``unknown``; null turn numbers
-come first. A pair with one side missing has an empty prompt and one empty
+Rows: one for each pair, however long; its texts together must fit one Spark row (under 2 GB). Null texts render as empty, null roles
+as ``unknown``; null turn numbers come first. A pair with one side missing has an empty prompt and one empty
 completion; equal sides have empty completions. Turns that repeat a number are ordered by role
-and text; repeated rows are rendered as often as they occur. Empty tables give empty results.
-Extra columns are ignored.
+and text, and belong to the prompt only if all of that number agree; repeated rows are rendered as often as they occur. Empty tables
+give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,38 +27,37 @@ def render(role: Column, text: Column) -> Column:
 
 
 def format_preferences(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """``turns`` has pair_id, chosen (boolean), turn, role and text. Returns pair_id, block, prompt, n_prompt_turns, chosen, chosen_mask, rejected, rejected_mask."""
+    """``turns`` has pair_id, chosen (boolean), turn, role and text. Returns pair_id, prompt, n_prompt_turns, chosen, chosen_mask, rejected, rejected_mask."""
+    turn = F.coalesce("turn", F.lit(-1)).cast("bigint")
     own = turns.select(
-        "pair_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.coalesce("turn", F.lit(-1)).cast("bigint").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        "pair_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.floor(turn / block_turns).alias("block"),
+        F.struct(turn.alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("x"),
     )
-    sides = own.groupBy("pair_id", "turn", "role", F.sha2("text", 256).alias("digest")).agg(F.sum(F.when(F.col("chosen"), 1).otherwise(-1)).alias("balance"))
-    ends = sides.groupBy("pair_id").agg(F.min(F.when(F.col("balance") != 0, F.col("turn"))).alias("ends")).select(F.col("pair_id").alias("p"), "ends")
-    joined = own.join(ends, F.col("pair_id").eqNullSafe(F.col("p")))
-    in_prompt = F.coalesce(F.col("turn") < F.col("ends"), F.lit(True))
-    part = F.when(in_prompt, F.when(F.col("chosen"), "prompt")).otherwise(F.when(F.col("chosen"), "chosen").otherwise("rejected"))
-    # common turns of the rejected side have no part: they are in the prompt already
-    parts = joined.select("pair_id", F.floor(F.greatest(F.col("turn"), F.lit(0)) / block_turns).alias("block"), part.alias("part"), "turn", "role", "text")
-    entry = F.struct("part", "turn", "role", "text", render(F.col("role"), F.col("text")).alias("shown"))
-    blocks = parts.groupBy("pair_id", "block").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), entry))).alias("x"))
+    blocks = own.groupBy("pair_id", "block").agg(
+        F.array_sort(F.collect_list(F.when(F.col("chosen"), F.col("x")))).alias("c"), F.array_sort(F.collect_list(F.when(~F.col("chosen"), F.col("x")))).alias("r")
+    )
+    whole = blocks.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("block", "c", "r"))).alias("b"))
+    sides = whole.select("pair_id", F.flatten("b.c").alias("c"), F.flatten("b.r").alias("r"))
+    apart = F.array_position(F.zip_with("c", "r", lambda x, y: ~x.eqNullSafe(y)), True)
+    ends = F.when(apart > 0, F.least(F.get("c", (apart - 1).cast("int"))["turn"], F.get("r", (apart - 1).cast("int"))["turn"]))
+    cut = sides.select("pair_id", "c", "r", ends.alias("ends"))
 
-    def of(name: str) -> Column:
-        return F.filter(F.col("x"), lambda e: e["part"] == name)
+    def part(side: str, before: bool) -> Column:
+        return F.filter(F.col(side), lambda e: F.coalesce(e["turn"] < F.col("ends"), F.lit(True)) == F.lit(before))
 
-    def shown(name: str) -> Column:
-        return F.array_join(F.transform(of(name), lambda e: e["shown"]), "")
+    def shown(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda e: render(e["role"], e["text"])), "")
 
-    def mask(name: str) -> Column:
-        return F.array_join(F.transform(of(name), lambda e: F.concat(F.length(e["shown"]).cast("string"), F.lit(":"), (e["role"] == LEARNT).cast("int").cast("string"))), ",")
+    def mask(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda e: F.concat(F.length(render(e["role"], e["text"])).cast("string"), F.lit(":"), (e["role"] == LEARNT).cast("int").cast("string"))), ",")
 
-    return blocks.select(
-        "pair_id", "block", shown("prompt").alias("prompt"), F.size(of("prompt")).cast("bigint").alias("n_prompt_turns"),
-        shown("chosen").alias("chosen"), mask("chosen").alias("chosen_mask"), shown("rejected").alias("rejected"), mask("rejected").alias("rejected_mask"),
+    split = cut.select("pair_id", part("c", True).alias("p"), part("c", False).alias("c"), part("r", False).alias("r"))
+    return split.select(
+        "pair_id", shown(F.col("p")).alias("prompt"), F.size("p").cast("bigint").alias("n_prompt_turns"),
+        shown(F.col("c")).alias("chosen"), mask(F.col("c")).alias("chosen_mask"), shown(F.col("r")).alias("rejected"), mask(F.col("r")).alias("rejected_mask"),
     )
 
 
 def adjacent_pairs(conversations: DataFrame) -> DataFrame:
     """Turns of conversations 2k (chosen) and 2k + 1 (rejected) as pair k."""
-    return conversations.select(
-        F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"
-    )
+    return conversations.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
+import sys
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one call of a Python operator sees at most (a longer text comes alone).
-BATCH_BYTES = 4_000_000
-
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
+BATCH_BYTES = 2_000_000
 
 #: ASCII white space as the word rules of the operators define it.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -28,25 +27,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names; a machine-local one would be lost to the executors, so there is no other."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def materialise(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage.
 
-    The table outlives lost executors. It goes when the driver's Python ends.
+    The table outlives lost executors. It goes with ``discard`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/keyloom-{uuid.uuid4().hex}"
-    (df if partition_hint is None else df.coalesce(partition_hint)).write.parquet(path)
+    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -57,11 +67,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on: whole texts cross, and a batch must fit beside others."""
+_held: dict = {}
+
+
+def hold(key, build: Callable):
+    """The model of ``key`` in this worker. One is held at a time, as stages share the workers."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def settle(keep_model: bool = False) -> None:
+    """Return what a task took: the worker lives on for tasks of other stages."""
+    if not keep_model:
+        _held.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows in this session, as whole texts cross. Called by the registered queries
+    and the pipeline, which own their session; operators leave settings alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def pieces(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -88,7 +119,6 @@ def annotate(
     texts (None for null) to columns, by the names of the DDL ``result``.
     The kept columns cross Python untouched, so that no join is needed.
     """
-    bounded_batches(df.sparkSession)
     place = keep.index(text) if isinstance(text, str) and text in keep else None  # then the text crosses once, among the kept columns
     text = F.col(text) if isinstance(text, str) else text
     inner = df.select(F.struct(*[df[c] for c in keep]).alias("k"), (text if place is None else F.lit(None).cast("string")).alias("t"))
@@ -106,7 +136,7 @@ def annotate(
                 arrays = [pa.array(found[n], type=kind[n]) for n in kind]
                 out = pa.StructArray.from_arrays(arrays, names=list(kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=["k", "r"])
-        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+        settle(keep_model=True)
 
     names = [f.name for f in _fields(result)]
     return (

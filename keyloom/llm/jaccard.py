@@ -2,50 +2,58 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles. Sizes fall into bands
 [L, 2L); a set also joins the next band if it is large enough to match a set there. Sets
-of sizes r and s with Jaccard >= t differ in at most k = floor((1 - t) / t * r) features,
-so if a band's feature domain is cut into more than k partitions by a hash, two similar
-sets agree on some partition. PartEnum's first level takes k + 1 partitions and enumerates them
-one at a time (its second level, subsets of finer partitions, is the case of one
-partition in each subset): here each set signs its first k + 1 non-empty partitions,
-of which at most k can differ, so similar sets share at least one signature. A set with
-too few non-empty partitions signs them all and one mark besides, shared by such sets.
+of sizes r and s with Jaccard >= t differ in at most k = floor((1 - t) / t * r) features.
+A band cuts the feature domain by a hash into n1 partitions and each of them into n2; a signature is made of
+one partition and a subset of n2 - k2 of its parts, for all such subsets, and hashes the features in
+them. Partitions in which more than k2 parts differ take k2 + 1 differing features each, so
+there are at most k / (k2 + 1) of them, and two similar sets agree on a subset in the first
+partition that is none of these. That partition is among the first floor(k / (k2 + 1)) + 1 non-empty
+ones of both sets, and only those are signed. A set with too few non-empty
+partitions signs them all and one mark besides, shared by such sets. ``Scheme.plan`` chooses n1, n2 and k2
+for every band: of the plans with at most some 1.5 (k + 1) signatures that whose signatures cover most features.
 
 Sets that are equal become one class first. In each bucket of a signature the members are compared
 with one member (a star), which joins large groups of copies with few comparisons. Where
 members of one bucket are still in different components, all pairs between
-components are compared inside the bucket, in blocks of BLOCK members: at first only a
-minimum spanning forest of the pairs that may be similar leaves the task, which joins large groups, and then
-every such pair between the components that are left. Pairs are compared by sketches first: the features
+components are compared inside the bucket, in blocks of BLOCK members. A block whose pairs that may be similar
+are few gives them all; any other gives a minimum spanning forest of them at first, which joins large groups, and
+all pairs between the components that are left in a second round. Pairs are compared by sketches first: the features
 are dealt into cells, one byte of each cell's sum is kept, and the cells that differ are a lower
 bound of the features that differ, so that no similar pair is lost. What
 passes is verified with the texts. Nothing is capped.
 
 Rows: one for each input row. Null and empty texts have no set and link with nothing;
-component_id is then doc_id. Rows with equal ids are one document in the graph. A null
-id gets the class's smallest id or null. Very long texts are read whole. Extra columns
-are ignored. An empty table gives an empty result.
+component_id is then the smallest id its other rows reach, or doc_id. Rows with equal ids are one document in the graph, whatever
+their texts. A row without an id gets the smallest id of the component of the documents with its set, or null. Very long
+texts are read whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import annotate, fits, materialise
+from keyloom.llm.common import annotate, discard, fits, materialise, settle
 
 #: Words of a shingle, and the threshold as a ratio of integers.
 SHINGLE = 4
 SIMILAR = (85, 100)
 #: Ids that are broadcast at most to pick the texts that are verified.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Pairs for each member of a block that are given without a spanning forest first.
+FEW = 8
+#: Sets that a task remembers to have signed.
+MET = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -116,6 +124,7 @@ class Scheme:
 
     def __init__(self, num: int = SIMILAR[0], den: int = SIMILAR[1]):
         self.num, self.den = num, den
+        self.plans: dict[int, tuple[int, int, int]] = {}
 
     def differ(self, n: int) -> int:
         """Features in which a set of n and a similar one differ at most."""
@@ -125,24 +134,41 @@ class Scheme:
         own = n.bit_length() - 1
         return [own, own + 1] if self.den * n >= self.num * (2 << own) else [own]
 
-    def partitions(self, band: int) -> int:
-        k = self.differ((2 << band) - 1)
-        return 1 if k == 0 else k + 5 + k // 32
+    def plan(self, band: int) -> tuple[int, int, int]:
+        """n1, n2 and k2 of a band."""
+        if band not in self.plans:
+            k = self.differ((2 << band) - 1)
+            options = []
+            for k2 in range(min(k, 3) + 1):
+                n1 = k // (k2 + 1) + 1
+                n1 += 1 + n1 // 16 if n1 > 1 else 0  # so that a set without a feature in some partitions still has enough
+                for n2 in range(k2 + 1, k2 + 4):
+                    if (k // (k2 + 1) + 1) * math.comb(n2, k2) <= 1.5 * (k + 1) + 2:
+                        options.append(((n2 - k2) / (n1 * n2), -math.comb(n2, k2), (n1, n2, k2)))
+            self.plans[band] = max(options)[2]
+        return self.plans[band]
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
         n = len(features)
         if not n:
             return np.zeros(0, np.uint64)
-        out, need = [], self.differ(n) + 1
+        out = []
         for band in self.bands(n):
+            n1, n2, k2 = self.plan(band)
+            need = self.differ(n) // (k2 + 1) + 1
             seed = mix(np.array([band + 1], np.uint64) * _MIX)
             spread = mix(features ^ seed)
-            part = (spread >> np.uint64(32)) * np.uint64(self.partitions(band)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mix(spread + _MIX)[order], first)
-            out.append(mix(sums ^ mix(part[first] + seed))[:need])
+            part = (spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
+            sums = np.zeros(n1 * n2, np.uint64)
+            np.add.at(sums, part.astype(np.int64), mix(spread + _MIX))
+            held = np.bincount((part // np.uint64(n2)).astype(np.int64), minlength=n1)
+            first = np.flatnonzero(held)[:need]
+            own = sums.reshape(n1, n2)[first]
+            for k, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
+                h = seed + np.uint64(k) + first.astype(np.uint64) * np.uint64(64)
+                for c in subset:
+                    h = mix(h * _MIX + own[:, c])
+                out.append(h)
             if len(first) < need:
                 out.append(seed)
         return np.concatenate(out)
@@ -176,10 +202,10 @@ def may_be_similar(a: bytes, b: bytes, n: int, m: int, num: int, den: int) -> bo
 
 def compare_bucket(
     ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, sketches: list[bytes], num: int, den: int, halves: np.ndarray | None = None, forest: bool = False
-) -> list[tuple[int, int]]:
-    """Pairs (x, y), x < y, of different parts that may be similar; with ``halves`` only pairs between the two.
+) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (x, y), x < y, of different parts that may be similar, and whether these are all; with ``halves`` only pairs between the two.
 
-    With ``forest`` only those that join parts, the most alike first.
+    With ``forest``, where they are over FEW for each member, only those that join parts, the most alike first.
     """
     cells = min(map(len, sketches))
     table = np.stack([fold_to(s, cells) for s in sketches])
@@ -200,9 +226,10 @@ def compare_bucket(
             left.append(np.full(len(right[-1]), i))
             apart.append(differ[near])
     if not left:
-        return []
+        return [], True
     x, y, d = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
-    if forest:
+    whole = not forest or len(x) <= FEW * len(ids)
+    if not whole:
         parts = np.unique(parts, return_inverse=True)[1]
         root = list(range(int(parts.max()) + 1))
 
@@ -219,7 +246,7 @@ def compare_bucket(
                 root[a] = b
                 keep.append(k)
         x, y = x[keep], y[keep]
-    return [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in zip(x, y, strict=True)]
+    return [(min(ids[i], ids[k]), max(ids[i], ids[k])) for i, k in zip(x, y, strict=True)], whole
 
 
 def fingerprint(features: np.ndarray) -> tuple[int, int]:
@@ -240,28 +267,36 @@ def connected(links: DataFrame) -> DataFrame:
         low = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("c").alias("was"), F.least("c", "near").alias("c"))
         low = materialise(low)
         to = low.select(F.col("v").alias("to"), F.col("c").alias("jump"))
-        labels = materialise(low.join(to, F.col("c") == F.col("to")).select("v", "was", F.least("c", "jump").alias("c")))
-        moved = labels.where("c <> was").limit(1).count()
-        labels = labels.select("v", "c")
-        if not moved:
+        after = materialise(low.join(to, F.col("c") == F.col("to")).select("v", "was", F.least("c", "jump").alias("c")))
+        discard(labels, low)
+        labels = after
+        if not labels.where("c <> was").limit(1).count():
+            discard(both)
             return labels
 
 
 def compare_runs(batches, num: int, den: int, forest: bool = False):
-    """``compare_bucket`` for each run of equal (sig, i, j) in sorted rows; a run that a batch leaves open waits for the next."""
+    """``compare_bucket`` for each run of equal (sig, i, j) in sorted rows; a run that a batch leaves open waits for the next.
+
+    Rows with a sig instead of a pair name the buckets that have more pairs than were given.
+    """
     held: pa.Table | None = None
 
     def work(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
-        ids, sizes, own = (table.column(c).to_numpy() for c in ("sid", "n", "own"))
+        ids, sizes, own, sig = (table.column(c).to_numpy() for c in ("sid", "n", "own", "sig"))
         parts = np.unique(table.column("c").to_numpy(zero_copy_only=False), return_inverse=True)[1]
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
         sketches = table.column("sketch").to_pylist()
-        out: list[tuple[int, int]] = []
+        pairs: set[tuple[int, int]] = set()
+        more: set[int] = set()
         for a, b in zip(first, [*first[1:], len(ids)], strict=True):
             halves = own[a:b] if i[a] != j[a] else None
-            out += compare_bucket(ids[a:b], sizes[a:b], parts[a:b], sketches[a:b], num, den, halves, forest)
-        pairs = set(out)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["x", "y"])
+            found, whole = compare_bucket(ids[a:b], sizes[a:b], parts[a:b], sketches[a:b], num, den, halves, forest)
+            pairs.update(found)
+            if not whole:
+                more.add(int(sig[a]))
+        columns = [[p[k] for p in pairs] + [None] * len(more) for k in (0, 1)] + [[None] * len(pairs) + list(more)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x", "y", "sig"])
 
     def starts(table: pa.Table) -> np.ndarray:
         keys = [table.column(c).to_numpy() for c in ("sig", "i", "j")]
@@ -278,6 +313,7 @@ def compare_runs(batches, num: int, den: int, forest: bool = False):
             held = held.slice(first[-1]).combine_chunks()
     if held is not None:
         yield work(held.combine_chunks(), starts(held))
+    settle()
 
 
 def link_documents(
@@ -289,25 +325,44 @@ def link_documents(
     scheme = Scheme(num, den)
 
     def make():
+        met: dict[int, None] = {}  # sets that this task has signed already: a group of copies signs once in a task
+
+        def signed(print_: int, features: np.ndarray) -> np.ndarray:
+            if print_ in met:
+                return np.zeros(0, np.int64)
+            if len(met) >= MET:
+                met.clear()
+            met[print_] = None
+            return scheme.signatures(features).view(np.int64)
+
         def work(texts):
             sets = shingle_sets(texts, size)
             prints = [fingerprint(s) for s in sets]
-            signed = [scheme.signatures(s).view(np.int64) for s in sets]
-            return {"n": [len(s) for s in sets], "sid": [p[0] for p in prints], "more": [p[1] for p in prints], "sigs": signed, "sketch": [sketch(s) for s in sets]}
+            sigs = [signed(p[0], s) for p, s in zip(prints, sets, strict=True)]
+            return {"n": [len(s) for s in sets], "sid": [p[0] for p in prints], "more": [p[1] for p in prints], "sigs": sigs, "sketch": [sketch(s) for s in sets]}
 
         return work
 
-    table = materialise(annotate(docs, ["doc_id"], "text", make, "n bigint, sid bigint, more bigint, sigs array<bigint>, sketch binary"))
-    # equal sets have equal sketches, so any of a class will do
-    classes = materialise(table.where("n > 0").groupBy("sid", "more", "n").agg(F.min("doc_id").alias("rep")))
-
-    signed = table.select("sid", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("sig")
-    members = materialise(signed.join(shared, "sig").groupBy("sig", "sid").agg(F.lit(1).alias("one")).select("sig", "sid"))
-    # sketches of the sets that are in shared buckets at all
+    signed = materialise(annotate(docs, ["doc_id"], "text", make, "n bigint, sid bigint, more bigint, sigs array<bigint>, sketch binary"))
+    # one exchange by signature; a bucket is kept if it has two sets
+    bucket = Window.partitionBy("sig")
+    spread = signed.select("sid", F.explode("sigs").alias("sig")).repartition("sig")
+    shared = spread.select("sig", "sid", F.min("sid").over(bucket).alias("low"), F.max("sid").over(bucket).alias("high")).where("low < high")
+    members = materialise(shared.select("sig", "sid").distinct())
+    rows = materialise(signed.select("doc_id", "n", "sid", "more"))
+    classes = materialise(rows.where("n > 0 and doc_id is not null").groupBy("sid", "more", "n").agg(F.min("doc_id").alias("rep")))
+    # sketches of the sets that are in shared buckets at all; equal sets have equal sketches, so any of a class will do
     ids = materialise(members.select("sid").distinct())
-    drawn = table.select("sid", "n", "sketch").join(F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids, "sid", "left_semi")
+    few = fits(ids, BROADCAST_IDS)
+    near_ids = F.broadcast(ids) if few else ids
+    drawn = signed.select("sid", "n", "sketch").join(near_ids, "sid", "left_semi")
     sketches = materialise(drawn.groupBy("sid").agg(F.min(F.struct("n", "sketch")).alias("s")).select("sid", "s.n", "s.sketch"))
+    discard(signed)
+    # and the texts of one document of each, which pairs are verified with
+    wanted = classes.join(ids, "sid", "left_semi").select(F.col("rep").alias("id"))
+    wanted = materialise(wanted.distinct())
+    chosen = docs.join(F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = materialise(chosen.dropDuplicates(["doc_id", "text"]) if _repeats(rows) else chosen)
 
     def sketched(pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) of sids whose sketches do not rule them out."""
@@ -329,35 +384,36 @@ def link_documents(
         two = classes.select(F.col("sid").alias("y"), F.col("rep").alias("rep_y"))
         near = pairs.join(one, "x").join(two, "y").where("rep_x <> rep_y")
         near = materialise(near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
-        wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        wanted = F.broadcast(wanted) if fits(wanted, BROADCAST_IDS) else wanted
-        texts = materialise(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text"))
         joined = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a")
         joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
 
         def check(batches):
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
+                for start in range(0, batch.num_rows, 128):
+                    part = batch.slice(start, 128)
                     left, right = shingle_sets(part.column(2).to_pylist(), size), shingle_sets(part.column(3).to_pylist(), size)
                     ok = []
                     for s, u in zip(left, right, strict=True):
                         common = len(np.intersect1d(s, u, assume_unique=True))
                         ok.append(den * common >= num * (len(s) + len(u) - common))
                     yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            settle()
 
-        return materialise(joined.mapInArrow(check, near.schema))
+        links = materialise(joined.mapInArrow(check, near.schema))
+        discard(near)
+        return links
 
     # every bucket around one member; the same few members are the centres of most buckets of a group
     centre = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sid").alias("o"), F.col("sid").alias("y"))).alias("m")).select("sig", "m.y")
     star = members.join(centre, "sig").where("sid <> y").select(F.least("sid", "y").alias("x"), F.greatest("sid", "y").alias("y")).distinct()
-    links = verify(sketched(star))
+    links = verify(sketched(star)).union(_same_id(rows, classes))
     components = connected(links)
 
     # buckets of three or more that are still in several components, all pairs between components
+    todo = members
     for forest in (True, False):
         at = classes.join(components, F.col("rep") == F.col("v"), "left").groupBy("sid").agg(F.min(F.coalesce("c", "rep")).alias("c"))
-        here = members.join(materialise(at), "sid")
+        here = todo.join(materialise(at), "sid")
         open_ = here.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("p"), F.max("c").alias("q")).where("k > 2 and p < q").select("sig", "k")
         blocks = F.ceil(F.col("k") / BLOCK).cast("bigint")
         placed = here.join(open_, "sig").select("sig", "sid", "c", F.pmod(F.xxhash64("sid", "sig"), blocks).alias("own"), blocks.alias("blocks"))
@@ -365,15 +421,39 @@ def link_documents(
         dealt = dealt.select("sig", "sid", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         dealt = dealt.join(sketches, "sid").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
         run = functools.partial(compare_runs, num=num, den=den, forest=forest)
-        found = dealt.select("sig", "i", "j", "sid", "n", "c", "own", "sketch").mapInArrow(run, "x bigint, y bigint")
-        more = verify(found.distinct())
+        found = materialise(dealt.select("sig", "i", "j", "sid", "n", "c", "own", "sketch").mapInArrow(run, "x bigint, y bigint, sig bigint").distinct())
+        more = verify(found.where("sig is null").select("x", "y"))
         if more.limit(1).count():
             links = links.unionByName(more)
+            discard(components)
             components = connected(links)
+        rest = found.where("sig is not null").select("sig")
+        if not rest.limit(1).count():
+            break
+        todo = members.join(rest, "sig", "left_semi")
 
     final = classes.join(components, F.col("rep") == F.col("v"), "left").select(
-        F.col("sid").alias("s"), F.col("more").alias("m"), F.col("n").alias("k"), F.coalesce("c", "rep").alias("component_id")
+        F.col("sid").alias("s"), F.col("more").alias("m"), F.col("n").alias("k"), F.coalesce("c", "rep").alias("component")
     )
-    rows = table.select("doc_id", "n", "sid", "more")
     joined = rows.join(final, (F.col("sid") == F.col("s")) & (F.col("more") == F.col("m")) & (F.col("n") == F.col("k")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(members, ids, sketches, wanted, texts)
+    if not _repeats(rows):
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    own = components.select(F.col("v").alias("o"), F.col("c").alias("by_id"))
+    joined = joined.join(own, F.col("doc_id") == F.col("o"), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "by_id", "doc_id").alias("component_id"))
+
+
+def _again(rows: DataFrame) -> DataFrame:
+    """Ids of several rows."""
+    return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return bool(_again(rows).limit(1).count())
+
+
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from an id of several rows to the representatives of all its sets."""
+    own = rows.where("n > 0").join(_again(rows), "doc_id", "left_semi").join(classes, ["sid", "more", "n"])
+    return own.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()

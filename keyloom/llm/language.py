@@ -7,9 +7,12 @@ bits a character, phrases * log2(sample length) / characters, and the lowest win
 
 To parse many texts at once each text is cut into blocks of ``block`` characters
 (all blocks, so whole texts), and one step moves every block and every language on
-by one table look-up. A block border ends a phrase, for all languages alike.
+by one table look-up. Every block is parsed as if a phrase began there; then blocks are parsed again
+from the state in which the block before ended, until that parse meets the first one, which it
+follows from there on. This is repeated while any block ends otherwise than
+its next one assumed, so phrases do cross block borders, and the parse is that of the whole text.
 
-Rows: one for each input row. Null text, empty text and text without a letter: lang
+Rows: one for each input row. Null text, empty text and text without a letter (Unicode category L): lang
 ``und``, score 0. Ties go to the language first in the alphabet. Very long texts are
 only more blocks. No labelled row at all: every row is ``und``. Repeated rows get
 repeated results; extra columns are ignored.
@@ -17,22 +20,25 @@ repeated results; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import annotate
+from keyloom.llm.common import annotate, hold
 
 #: Bounds of the training sample: texts of a language, and characters used of each (from its middle).
 SAMPLE_TEXTS = 40
 SAMPLE_CHARS = 500
-BLOCK = 256
+BLOCK = 1024
+#: Characters after which two parses of a block are compared.
+CHECK = 64
 UNKNOWN = "und"
 SPACE = 1  # codes: 0 ends a block without a step, 1 is any run of non-letters, letters follow, the last is any other letter
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
+_others = regex.compile(r"\P{L}+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -70,7 +76,7 @@ class CrossParser:
     def __init__(self, sample: dict[str, str], block: int = BLOCK):
         self.langs = sorted(sample)
         self.block = block
-        texts = {name: re.sub(r"[\W\d_]+", " ", sample[name].lower()) for name in self.langs}
+        texts = {name: _others.sub(" ", sample[name].lower()) for name in self.langs}
         letters = sorted(set("".join(texts.values())) - {" "})
         self.width = len(letters) + 3
         self.code_of = np.full(0x110000, self.width - 1, np.uint8 if self.width < 256 else np.uint16)
@@ -121,14 +127,10 @@ class CrossParser:
                 table[s, c] = to
         return table
 
-    def phrases(self, codes: np.ndarray) -> np.ndarray:
-        """Phrases of each block (row of ``codes``) by language."""
-        blocks = len(codes)
-        roots = np.repeat(np.array(self.roots, np.int32), blocks)
-        state, count = roots.copy(), np.zeros(len(roots), np.int32)
-        by_step = np.ascontiguousarray(codes.T).astype(np.int32)
-        for step in by_step:
-            letter = np.tile(step, len(self.roots))
+    def _advance(self, letters: np.ndarray, state: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and ended phrases after the letters (a row for each step)."""
+        count = np.zeros(len(state), np.int32)
+        for letter in letters:
             nxt = self.table[state * self.width + letter]
             stuck = np.flatnonzero(nxt < 0)
             if len(stuck):
@@ -136,15 +138,50 @@ class CrossParser:
                 count[stuck] += (state[stuck] != roots[stuck]).astype(np.int32) + (again < 0)
                 nxt[stuck] = np.where(again < 0, roots[stuck], again)  # a letter that the language lacks is a phrase alone
             state = nxt
-        count += state != roots
-        return count.reshape(len(self.roots), blocks).T
+        return state, count
+
+    def phrases(self, codes: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Phrases of each block (row of ``codes``) by language; ``head`` marks blocks that begin a text."""
+        blocks, langs = len(codes), len(self.roots)
+        roots = np.repeat(np.array(self.roots, np.int32), blocks)
+        steps = np.ascontiguousarray(codes.T).astype(np.int32)
+        block_of = np.tile(np.arange(blocks), langs)
+        cuts = range(0, self.block, CHECK)
+        state, count = roots, np.zeros(len(roots), np.int32)
+        met, so_far = [], []  # of the parse that counts: state and count behind every CHECK letters
+        for a in cuts:
+            state, more = self._advance(np.tile(steps[a : a + CHECK], langs), state, roots)
+            count = count + more
+            met.append(state.copy())
+            so_far.append(count)
+        met, so_far = np.stack(met), np.stack(so_far)
+        begun = roots.copy()
+        inner = np.flatnonzero(~np.tile(head, langs))  # the block before is the row before
+        while True:
+            rows = inner[met[-1, inner - 1] != begun[inner]]
+            if not len(rows):
+                break
+            state = met[-1, rows - 1]
+            begun[rows] = state
+            count = np.zeros(len(rows), np.int32)
+            for k, a in enumerate(cuts):
+                state, more = self._advance(steps[a : a + CHECK, block_of[rows]], state, roots[rows])
+                count = count + more
+                same = state == met[k, rows]
+                so_far[k:, rows[same]] += count[same] - so_far[k, rows[same]]
+                rows, state, count = rows[~same], state[~same], count[~same]
+                met[k, rows], so_far[k, rows] = state, count
+                if not len(rows):
+                    break
+        last = np.tile(np.append(head[1:], True), langs)
+        return (so_far[-1] + ((met[-1] != roots) & last)).reshape(langs, blocks).T
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         chosen = [i for i, t in enumerate(texts) if t and _letter.search(t)] if self.langs else []
         if not chosen:
             return lang, score
-        lowered = [re.sub(r"[\W\d_]+", " ", texts[i].lower()) for i in chosen]
+        lowered = [_others.sub(" ", texts[i].lower()) for i in chosen]
         sizes = np.array([len(t) for t in lowered])
         held = -(-sizes // self.block)
         first = np.concatenate([[0], np.cumsum(held)])
@@ -154,7 +191,9 @@ class CrossParser:
         flat = np.zeros(first[-1] * self.block, codes.dtype)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         flat[np.arange(len(points)) + np.repeat(first[:-1] * self.block - starts, sizes)] = codes
-        by_block = self.phrases(flat.reshape(-1, self.block))
+        head = np.zeros(first[-1], bool)
+        head[first[:-1]] = True
+        by_block = self.phrases(flat.reshape(-1, self.block), head)
         total = np.add.reduceat(by_block, first[:-1], axis=0)
         bits = total * np.array(self.bits) / sizes[:, None]
         best = bits.argmin(axis=1)
@@ -165,16 +204,8 @@ class CrossParser:
         return lang, score
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def parser(sample: dict[str, str], block: int = BLOCK) -> CrossParser:
-    """One for each worker process and sample."""
-    key = hash((tuple(sorted(sample.items())), block))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(sample, block)
-    return _parsers[key]
+    return hold(("language", tuple(sorted(sample.items())), block), lambda: CrossParser(sample, block))
 
 
 def identify(df: DataFrame, sample: dict[str, str], text: str = "text", keep: Sequence[str] = ("doc_id",), lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -74,13 +74,13 @@ j as (
   select t.*, ends is null or turn < ends as p, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as shown from t join e on t.pair_id = e.pair_id
 ),
 m as (select *, cast(length(shown) as varchar) || ':' || case when role = 'assistant' then '1' else '0' end as mark from j)
-select pair_id, greatest(turn, 0) // 256 as block, coalesce(string_agg(shown, '' order by turn, role, text) filter (where p and chosen), '') as prompt,
+select pair_id, coalesce(string_agg(shown, '' order by turn, role, text) filter (where p and chosen), '') as prompt,
   count(*) filter (where p and chosen) as n_prompt_turns,
   coalesce(string_agg(shown, '' order by turn, role, text) filter (where not p and chosen), '') as chosen,
   coalesce(string_agg(mark, ',' order by turn, role, text) filter (where not p and chosen), '') as chosen_mask,
   coalesce(string_agg(shown, '' order by turn, role, text) filter (where not p and not chosen), '') as rejected,
   coalesce(string_agg(mark, ',' order by turn, role, text) filter (where not p and not chosen), '') as rejected_mask
-from m group by 1, 2"""
+from m group by 1"""
 
 _JACCARD = rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),

@@ -7,18 +7,18 @@ count, checksum, hexadecimal share, word before it) and its type; dynamic progra
 picks boundaries and types jointly. Its weights are the maximum of the conditional
 likelihood over examples generated here from a fixed seed.
 
-A token that bears no sign (digit, ``@``, ``=``, ``+``) can only be outside, with score 0, so
-a text falls into independent regions around the signs and only those are decoded.
+A segment holds a token that bears a sign (digit, ``@``, ``=``, ``+``), all other tokens are outside with score 0, so
+a text falls into independent regions, each of the tokens that a segment with a sign can reach, and only those are decoded.
 
 Rows: one for each input row. Null text counts as empty: no spans. Very long texts and
-very long tokens are read whole: every base rule runs in time linear in the text. Model
-spans that touch a base span are dropped; a model token of over ``LONGEST`` characters
-is outside. Repeated rows get equal results; extra columns are ignored.
+very long tokens are read whole: every base rule and every feature runs in time linear in the text. Model
+spans that touch a base span are dropped. Repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import random
 import re
@@ -34,7 +34,6 @@ KINDS = ("email", "ip", "card", "phone")
 MODEL_KINDS = ("secret", "account")
 LABELS = ("out", *KINDS, *MODEL_KINDS)
 MAX_TOKENS = 4
-LONGEST = 200
 
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,7 +90,6 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # ---- the model -------------------------------------------------------------
 
 _sign = re.compile(r"[0-9@=+]")
-_signed = re.compile(r"(?<!\S)[^\s0-9@=+]*+[0-9@=+]\S*")
 _token = re.compile(r"\S+")
 _hex = re.compile(r"[0-9a-fA-F]{16,}")
 _key = re.compile(r"[A-Z0-9]{16,}$")
@@ -110,7 +108,7 @@ def span_features(tokens: Sequence[str], i: int, j: int) -> list[str]:
         out.append("mail" if re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", bare) else "at")
     if bare[:1] == "+" and digits == len(re.sub(r"[+\x20().-]", "", bare)):
         out.append(f"plus={9 <= digits <= 15}")
-    if re.fullmatch(r"[0-9]+(?:[\x20-]?[0-9]+)*", bare):
+    if re.fullmatch(r"[0-9]++(?:[\x20-][0-9]++)*+", bare):
         out.append(f"number={13 <= digits <= 19}:{13 <= digits <= 19 and luhn(_not_digit.sub('', bare))}")
     if re.fullmatch(r"[0-9]{1,9}(?:\.[0-9]{1,9}){3}", bare):
         out.append(f"quad={all(int(p) < 256 for p in bare.split('.'))}")
@@ -140,12 +138,12 @@ class SpanModel:
 
     def segments(self, tokens: Sequence[str]) -> dict[tuple[int, int], list[str]]:
         """Candidates: at most MAX_TOKENS tokens, of which one bears a sign."""
-        n, signed = len(tokens), [bool(_sign.search(t)) and len(t) <= LONGEST for t in tokens]
+        n, signed = len(tokens), [bool(_sign.search(t)) for t in tokens]
         return {
             (i, j): span_features(tokens, i, j)
             for i in range(n)
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1)
-            if any(signed[i:j]) and all(len(t) <= LONGEST for t in tokens[i:j])
+            if any(signed[i:j])
         }
 
     def scores(self, found: list[str]) -> np.ndarray:
@@ -259,48 +257,42 @@ def train(data=None, rounds: int = 12, rate: float = 0.5, shrink: float = 1e-3)
     return model
 
 
-_trained: list[SpanModel] = []
-
-
+@functools.cache
 def trained() -> SpanModel:
-    if not _trained:
-        _trained.append(train())
-    return _trained[0]
+    return train()
 
 
+def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and text[s] in _trim:
+        s += 1
+    while e > s and text[e - 1] in _trim:
+        e -= 1
+    return s, e
+
 
 def model_spans(text: str, model: SpanModel) -> list[tuple[int, int, str]]:
-    """Code point spans the model finds, region by region."""
+    """Code point spans the model finds, region by region: MAX_TOKENS - 1 tokens on both sides of a sign and one before them, which features look at."""
     if not _sign.search(text):
         return []
-    out = []
-    regions: list[list[int]] = []
-    for m in _signed.finditer(text):
-        # the two tokens before a sign belong to its region
-        left = m.start()
-        for _ in range(2):
-            p = left
-            while p > 0 and text[p - 1].isspace() and left - p < 4:
-                p -= 1
-            q = p
-            while q > 0 and not text[q - 1].isspace() and p - q <= LONGEST:
-                q -= 1
-            if q == p:
-                break
-            left = q
-        if regions and left <= regions[-1][1]:
-            regions[-1][1] = max(regions[-1][1], m.end())
+    spans = [m.span() for m in _token.finditer(text)]
+    starts = [s for s, _ in spans]
+    regions: list[list[int]] = []  # of tokens
+    known = -1
+    for m in _sign.finditer(text):
+        if m.start() < known:
+            continue
+        k = bisect.bisect_right(starts, m.start()) - 1
+        known = spans[k][1]
+        left, right = max(0, k - MAX_TOKENS + 1), min(len(spans), k + MAX_TOKENS)
+        if regions and left < regions[-1][1]:
+            regions[-1][1] = right
         else:
-            regions.append([left, m.end()])
+            regions.append([left, right])
+    out = []
     for a, b in regions:
-        spans = [(x.start() + a, x.end() + a) for x in _token.finditer(text[a:b])]
-        tokens = [text[i:j] for i, j in spans]
-        for i, j, kind in model.decode(tokens):
-            s, e = spans[i][0], spans[j - 1][1]
-            while s < e and text[s] in _trim:
-                s += 1
-            while e > s and text[e - 1] in _trim:
-                e -= 1
+        a = max(0, a - 1)
+        for i, j, kind in model.decode([text[s:e] for s, e in spans[a:b]]):
+            s, e = trimmed(text, spans[a + i][0], spans[a + j - 1][1])
             if s < e:
                 out.append((s, e, kind))
     return out
@@ -335,20 +327,21 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def find_spans(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), masked: str | None = None) -> DataFrame:
-    """``keep``, n_email, n_ip, n_card, n_phone, base_spans, spans (``kind:start:end``, comma-joined), and with ``masked`` that column of masked text."""
+    """``keep``, n_email, n_ip, n_card, n_phone, base_spans, spans (``kind:start:end``, comma-joined), n_spans, and with ``masked`` that column of masked text."""
     model = trained()
-    result = ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string" + (f", `{masked}` string" if masked else "")
+    result = ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_spans string, spans string, n_spans bigint" + (f", `{masked}` string" if masked else "")
     join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
     def make():
         def work(texts):
-            out = {f"n_{k}": [] for k in KINDS} | {"base_spans": [], "spans": []} | ({masked: []} if masked else {})
+            out = {f"n_{k}": [] for k in KINDS} | {"base_spans": [], "spans": [], "n_spans": []} | ({masked: []} if masked else {})
             for t in texts:
                 base, spans = all_spans(t, model)
                 for k in KINDS:
                     out[f"n_{k}"].append(len(base[k]))
                 out["base_spans"].append(join((k, s, e) for k in KINDS for s, e in base[k]))
                 out["spans"].append(join(spans))
+                out["n_spans"].append(len(spans))
                 if masked:
                     out[masked].append(mask(t, spans))
             return out
@@ -356,5 +349,3 @@ def find_spans(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
         return work
 
     return annotate(df, list(keep), text, make, result)
-
-

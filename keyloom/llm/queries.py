@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import read
+from keyloom.llm import common
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    common.bounded_batches(spark)
+    return common.read(spark, sf_dir, table)
+
+
 def vocabulary_file(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -81,7 +86,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyloom.llm.pii import find_spans
 
     found = find_spans(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

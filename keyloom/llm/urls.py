@@ -48,26 +48,31 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Sequence[s
         ascii_lower(F.col("host")).alias("r_host"),
         F.coalesce(F.col("path"), F.lit("")).alias("r_path"),
     ).where("r_host is not null and r_verdict is not null")
-    known = known.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("r_short", F.substring("r_digest", 1, SHORT)).distinct()
+    known = known.withColumn("digest", _digest(F.col("r_host"), F.col("r_path"))).distinct()
     shape = known.agg(F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths")).first()
     labels, lengths = shape["labels"] or 0, sorted(shape["lengths"])
+    # the rules behind a short prefix: one, or a few whose digests begin alike
+    index = known.groupBy(F.substring("digest", 1, SHORT).alias("short")).agg(F.collect_list(F.struct("digest", "r_host", "r_path", "r_verdict")).alias("rules"))
     if fits(known, BROADCAST_RULES):
-        known = F.broadcast(known)
+        index = F.broadcast(index)
 
     # one line for each distinct place, however many pages have it
-    places = own.select("host", "path").distinct()
+    places = own.where("host <> ''").select("host", "path").distinct()
     suffixes = F.expr(f"transform(sequence(1, greatest(1, least(size(split(host, '[.]')), {max(1, labels)}))), n -> substring_index(host, '.', -n))")
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(sizes, lambda n: F.struct(h.alias("h"), F.substr(F.col("path"), F.lit(1), n).alias("p")))))
     expanded = places.select("host", "path", F.explode(expressions).alias("e"))
     expanded = expanded.select("host", "path", _digest(F.col("e.h"), F.col("e.p")).alias("digest"))
-    hits = expanded.join(known, (F.substring("digest", 1, SHORT) == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+    met = expanded.join(index, F.substring(expanded["digest"], 1, SHORT) == F.col("short"))
+    hits = met.select("host", "path", F.explode(F.filter("rules", lambda r: r["digest"] == met["digest"])).alias("r"))  # full digests decide
     rank = F.struct(
-        (-(F.length("r_host") + F.length("r_path"))).alias("size"), (-F.length("r_host")).alias("host_size"),
-        F.when(F.col("r_verdict") == "block", 0).otherwise(1).alias("soft"), F.col("r_host").alias("h"), F.col("r_path").alias("p"), F.col("r_verdict").alias("v"),
+        (-(F.length("r.r_host") + F.length("r.r_path"))).alias("size"), (-F.length("r.r_host")).alias("host_size"),
+        F.when(F.col("r.r_verdict") == "block", 0).otherwise(1).alias("soft"), F.col("r.r_host").alias("h"), F.col("r.r_path").alias("p"), F.col("r.r_verdict").alias("v"),
     )
     best = hits.groupBy("host", "path").agg(F.min(rank).alias("best")).select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    return own.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
+    # rows without a host fit no rule; a key of null keeps them from meeting in one task
+    key = F.when(F.col("host") != "", F.col("host"))
+    return own.join(best, (key == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
         *[F.col("k").getField(c).alias(c) for c in keep],
         "host",
         "path",

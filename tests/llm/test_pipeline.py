@@ -51,6 +51,15 @@ def test_language_stage_keeps_documents_without_any_label(spark):
     assert {r["text"] for r in kept.collect()} == {"plain words here", "\u03a3\u03b1\u03c2", "no id"}
 
 
+def test_near_duplicate_stage_keeps_one_row_of_an_id(spark):
+    rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, "one two three four five"), (3, "lone words stand here now"), (4, None), (4, ""), (None, "one two three four five")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert [i for i, _ in got] == [0, 1, 3, 4] and got[1][1] in {t for i, t in rows if i == 1}
+
+
 def test_benchmark_stage_judges_rows_without_and_with_repeated_ids(spark, folder):
     taken = next(t for _, t in benchmark_rows() if t and not clean_of(t))
     rows = [(None, taken), (None, "nothing of it"), (7, taken), (7, "other words"), (8, "more words")]
