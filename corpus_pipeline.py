@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.bpe import encode_documents
-from keyloom.llm.common import fits, materialise, read
+from keyloom.llm.common import bounded_batches, fits, materialise, read
 from keyloom.llm.decontaminate import decontaminate
 from keyloom.llm.jaccard import BROADCAST_IDS, link_documents
 from keyloom.llm.language import UNKNOWN, identify, training_sample
@@ -31,6 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where no row has a label there is no language to learn; then all documents with a letter stay, and ``lang`` stays null.
     """
+    bounded_batches(spark)
     sample = training_sample(docs, "doc_id", "text", "lang")
     if not sample:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -42,8 +43,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays, once.
 
-    Rows without an id are not compared and stay; of rows that share an id one stays, whatever their texts.
+    Rows without an id are not compared and stay. Rows that share an id are one document; the one whose text has the smallest hash stays.
     """
+    bounded_batches(spark)
     linked = link_documents(docs)
     left = _without(docs, linked.where("doc_id <> component_id").select(F.col("doc_id").alias("id")))
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
@@ -51,7 +53,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if not again.limit(1).count():
         return left
     single = left.join(again, left["doc_id"] == F.col("id"), "left_anti")
-    return single.unionByName(left.join(again, left["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    several = left.join(again, left["doc_id"] == F.col("id"), "left_semi")
+    one = several.groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(*docs.columns), F.sha2("text", 256)).alias("k"))
+    return single.unionByName(one.select("k.*"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +65,14 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by the name of their kind; n_chars follows."""
+    bounded_batches(spark)
     found = find_spans(docs, keep=[c for c in docs.columns if c != "text"], masked="text")
     return found.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the token ids."""
+    bounded_batches(spark)
     return encode_documents(docs, vocabulary_file(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids"))
 
 
