@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 
 from keyloom.llm.common import annotate, hold
 
-#: Words whose tokens a worker remembers: some that were met last, twice as many at most with those of the batch before (bounded memory).
+#: Words whose tokens a worker keeps from one call to the next at most (bounded memory).
 CACHE_WORDS = 50_000
 #: Words that are encoded side by side.
 WORDS = 16_384
 #: States of the transition table in a worker at most, but for those of one call; then it is made afresh.
-STATES = 150_000
+STATES = 120_000
 END = 256  # stands for the end-of-word mark; letters are the bytes
 ALWAYS = 1 << 60
 
@@ -120,27 +121,29 @@ class WordAutomaton:
         """An empty table: rows are states, columns letters, -1 where a transition was not met yet."""
         self.column = np.full(END + 1, -1, np.int64)
         self.table = np.full((1024, 32), -1, np.int32)
-        self.numbers: dict[tuple[int, ...], int] = {}
-        self.states: list[tuple[int, ...]] = []
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.last = np.full(1024, -1, np.int32)
-        self._number((0, 0))
+        self._number([0, 0])
 
-    def _number(self, key: tuple[int, ...]) -> int:
-        """Of a state: (label that ends here, then label before and trie node in one number for each open place), labels plus one."""
+    def _number(self, numbers: list[int]) -> int:
+        """Of a state: label that ends here, then label before and trie node in one number for each open place; labels plus one."""
+        key = array("q", numbers).tobytes()
         got = self.numbers.get(key)
         if got is None:
             got = self.numbers[key] = len(self.states)
             self.states.append(key)
             if got == len(self.last):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-                self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
-            self.last[got] = key[0] - 1
+                more = got // 2
+                self.table = np.concatenate([self.table, np.full((more, self.table.shape[1]), -1, np.int32)])
+                self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
+            self.last[got] = numbers[0] - 1
         return got
 
     def _step(self, state: int, c: int) -> int:
         """The transition, made from the places at which a label may still end."""
         open_, last = [0], 0
-        for place in self.states[state][1:]:
+        for place in memoryview(self.states[state]).cast("q")[1:]:
             before, at = place >> 24, place & 0xFFFFFF
             to = self.trie.get(at << 9 | c)
             if to is None:
@@ -153,7 +156,7 @@ class WordAutomaton:
         if last:
             open_[0] = last
             open_.append(last << 24)
-        nxt = self._number(tuple(open_))
+        nxt = self._number(open_)
         self.table[state, self.column[c]] = nxt
         return nxt
 
@@ -163,13 +166,13 @@ class WordAutomaton:
             if self.column[c] < 0:
                 self.column[c] = self.column.max() + 1
                 if self.column[c] == self.table.shape[1]:
-                    self.table = np.concatenate([self.table, np.full_like(self.table, -1)], axis=1)
+                    self.table = np.concatenate([self.table, np.full((len(self.table), 16), -1, np.int32)], axis=1)
 
     def encode(self, words: Sequence[bytes], mark: bool = False) -> list[list[int]]:
         """Of non-empty words the labels on their accepting paths; ``mark`` adds the end-of-word mark. All words move on by one letter at a time."""
         if not words:
             return []
-        if len(self.states) >= self.most or self.table.size > 256 * self.most:
+        if len(self.states) >= self.most or self.table.size > 64 * self.most:
             self._clear()
         n, more = len(words), int(mark)
         sizes = np.array([len(w) + more for w in words])
@@ -245,23 +248,14 @@ class WordCodec:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
 
     def decode(self, ids) -> list[str]:
         """The arc labels, as text."""
         return [self.names[i] for i in ids]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that are not known. The words known before the last CACHE_WORDS go, unless they are met again."""
-        if len(self.known) >= CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        new = []
-        for w in words:
-            got = self.older.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                self.known[w] = got
+        """Encode words that are not known."""
+        new = list(words)
         for a in range(0, len(new), WORDS):
             part = new[a : a + WORDS]
             for w, ids in zip(part, self.automaton.encode([w.encode("utf-8") for w in part], self.mark), strict=True):
@@ -269,13 +263,15 @@ class WordCodec:
 
     def found(self, texts: Sequence[str | None]) -> list[list[tuple[list[int], str, str]]]:
         """For every pre-split word of every text: ids, and ids and labels joined by spaces."""
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
         parts = [self._parts(t or "") for t in texts]
         missing = {w for words in parts for w in words}
         missing.difference_update(self.known)
         if missing:
             self.learn(missing)
-        get, again = self.known.get, self.older.get
-        return [[get(w) or again(w) for w in words] for words in parts]
+        known = self.known
+        return [[known[w] for w in words] for words in parts]
 
     def _parts(self, text: str) -> list[str]:
         """Pre-split words; special tokens as they are, which no pre-split word is."""

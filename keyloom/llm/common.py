@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one call of a Python operator sees at most (a longer text comes alone).
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 #: ASCII white space as the word rules of the operators define it.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"

@@ -1,17 +1,19 @@
 """N-gram Jaccard join by PartEnum signatures (any style: NumPy for shingles, DataFrames for the rest).
 
 A document's set holds the 64-bit hashes of its distinct shingles. Sizes fall into bands
-[L, 2L); a set also joins the next band if it is large enough to match a set there. Sets
+[L, 2L); a set also joins the bands above its own in which it is large enough to match a set. Sets
 of sizes r and s with Jaccard >= t differ in at most k = floor((1 - t) / t * r) features.
-A band cuts the feature domain by a hash into n1 partitions and each of them into n2; a signature is made of
+A band cuts the feature domain by a hash into n1 partitions and each of them into n2 parts; a signature is made of
 one partition and a subset of n2 - k2 of its parts, for all such subsets, and hashes the features in
-them. Partitions in which more than k2 parts differ take k2 + 1 differing features each, so
-there are at most k / (k2 + 1) of them, and two similar sets agree on a subset in the first
-partition that is none of these. That partition is among the first floor(k / (k2 + 1)) + 1 non-empty
-ones of both sets, and only those are signed. A set with too few non-empty
-partitions signs them all and one mark besides, shared by such sets. ``Scheme.plan`` chooses n1, n2 and k2
+them, of which there must be one. ``Scheme.plan`` chooses n1, n2 and k2
 for every band: of the plans with at most some 1.5 (k + 1) signatures that whose signatures cover most features.
 
+Why similar sets share a signature: call a partition thin for a set if its features stand in k2 parts or fewer.
+Where two sets differ in at most k2 parts of a partition that is not thin for one of them, they agree on a subset with a
+feature. Partitions in which more parts differ take k2 + 1 differing features each, so there are at most
+k / (k2 + 1) of them. Each set signs its partitions up to the floor(k / (k2 + 1)) + 1st that is not thin, and one mark
+for all sets of the band if it has not so many; so either both have the mark or they share a subset.
+
 Sets that are equal become one class first. In each bucket of a signature the members are compared
 with one member (a star), which joins large groups of copies with few comparisons. Where
 members of one bucket are still in different components, all pairs between
@@ -30,6 +32,7 @@ texts are read whole. Extra columns are ignored. An empty table gives an empty r
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
@@ -122,6 +125,9 @@ def shingle_sets(texts: Sequence[str | None], size: int = SHINGLE) -> list[np.nd
 class Scheme:
     """Bands, partitions and signatures for a threshold of num / den."""
 
+    #: Where bands of sizes begin.
+    EDGES = tuple(1 << b for b in range(40))
+
     def __init__(self, num: int = SIMILAR[0], den: int = SIMILAR[1]):
         self.num, self.den = num, den
         self.plans: dict[int, tuple[int, int, int]] = {}
@@ -131,17 +137,20 @@ class Scheme:
         return (self.den - self.num) * n // self.num
 
     def bands(self, n: int) -> list[int]:
-        own = n.bit_length() - 1
-        return [own, own + 1] if self.den * n >= self.num * (2 << own) else [own]
+        own = bisect.bisect_right(self.EDGES, n) - 1
+        out = [own]
+        while self.num * self.EDGES[out[-1] + 1] <= self.den * n:
+            out.append(out[-1] + 1)
+        return out
 
     def plan(self, band: int) -> tuple[int, int, int]:
         """n1, n2 and k2 of a band."""
         if band not in self.plans:
-            k = self.differ((2 << band) - 1)
+            k = self.differ(self.EDGES[band + 1] - 1)
             options = []
             for k2 in range(min(k, 3) + 1):
                 n1 = k // (k2 + 1) + 1
-                n1 += 1 + n1 // 16 if n1 > 1 else 0  # so that a set without a feature in some partitions still has enough
+                n1 += 1 + n1 // 16 if n1 > 1 else 0  # so that a set with thin partitions still has enough
                 for n2 in range(k2 + 1, k2 + 4):
                     if (k // (k2 + 1) + 1) * math.comb(n2, k2) <= 1.5 * (k + 1) + 2:
                         options.append(((n2 - k2) / (n1 * n2), -math.comb(n2, k2), (n1, n2, k2)))
@@ -158,18 +167,20 @@ class Scheme:
             need = self.differ(n) // (k2 + 1) + 1
             seed = mix(np.array([band + 1], np.uint64) * _MIX)
             spread = mix(features ^ seed)
-            part = (spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
+            part = ((spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
             sums = np.zeros(n1 * n2, np.uint64)
-            np.add.at(sums, part.astype(np.int64), mix(spread + _MIX))
-            held = np.bincount((part // np.uint64(n2)).astype(np.int64), minlength=n1)
-            first = np.flatnonzero(held)[:need]
-            own = sums.reshape(n1, n2)[first]
+            np.add.at(sums, part, mix(spread + _MIX))
+            sums = sums.reshape(n1, n2)
+            held = np.bincount(part, minlength=n1 * n2).reshape(n1, n2) > 0
+            full = np.flatnonzero(held.sum(axis=1) > k2)  # the others are thin
+            upto = full[need - 1] + 1 if len(full) >= need else n1
+            place = seed + np.arange(upto, dtype=np.uint64) * np.uint64(64)
             for k, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
-                h = seed + np.uint64(k) + first.astype(np.uint64) * np.uint64(64)
+                h = place + np.uint64(k)
                 for c in subset:
-                    h = mix(h * _MIX + own[:, c])
-                out.append(h)
-            if len(first) < need:
+                    h = mix(h * _MIX + sums[:upto, c])
+                out.append(h[held[:upto][:, subset].any(axis=1)])
+            if len(full) < need:
                 out.append(seed)
         return np.concatenate(out)
 
@@ -375,6 +386,7 @@ def link_documents(
                 n, m, a, b = (batch.column(i).to_pylist() for i in range(2, 6))
                 ok = [may_be_similar(p, q, i, j, num, den) for p, q, i, j in zip(a, b, n, m, strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            settle()
 
         return near.mapInArrow(run, "x bigint, y bigint")
 
