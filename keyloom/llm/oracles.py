@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import re
-
 from keyloom.llm.jaccard import SHINGLE, SIMILAR
-from keyloom.llm.licenses import PHRASES, SEPARATORS, TEMPLATES, THRESHOLD, template_words
+from keyloom.llm.licenses import PHRASES, TEMPLATES, need_of, words_of
 from keyloom.llm.urls import RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,12 +11,12 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
 def _licenses() -> str:
-    span = max(len(re.split(SEPARATORS, t)) for _, t in TEMPLATES)
-    phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split(' '))}], '{label}')" for p, label in PHRASES)
+    quoted = lambda words: f"[{', '.join(repr(w) for w in words)}]"
+    phrases = ", ".join(f"({quoted(p.split(' '))}, '{label}')" for p, label in PHRASES)
     rows = []
-    for label, text in TEMPLATES:
-        words = template_words(text)
-        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}], {len(words)}, {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))})")
+    for label, text, names in TEMPLATES:
+        words = words_of(text)
+        rows.append(f"('{label}', {quoted(sorted(set(words)))}, {quoted(words_of(names))}, {len(words)}, {len(set(words))}, {need_of(len(set(words)))})")
     return f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 p as (select * from (values {phrases}) v(phrase, label)),
@@ -28,9 +25,12 @@ hit as (
   where w[i] = phrase[1] and w[i:i + len(phrase) - 1] = phrase
 ),
 base as (select doc_id, count(*) as n, min(k) as a, max(k) as b, string_agg(distinct label, ',' order by label) as labels from hit group by 1),
-t as (select * from (values {', '.join(rows)}) v(label, words, m, need)),
-blocks as (select doc_id, w[s + 1:s + {2 * span}] as b from (select doc_id, w, unnest(generate_series(0, greatest(len(w) - 1, 0), {span})) as s from d)),
-found as (select doc_id, label, len(list_intersect(words, b)) as c, m from blocks, t where len(list_intersect(words, b)) >= need),
+t as (select * from (values {', '.join(rows)}) v(label, words, names, length, m, need)),
+windows as (
+  select doc_id, label, words, names, m, need, w[s + 1:s + length] as b
+  from (select doc_id, w, label, words, names, length, m, need, unnest(generate_series(0, greatest(len(w) - length, 0))) as s from d, t where list_has_all(w, names))
+),
+found as (select doc_id, label, len(list_intersect(words, b)) as c, m from windows where list_has_all(b, names) and len(list_intersect(words, b)) >= need),
 best as (select doc_id, max(c / m) as score from found group by 1),
 every as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from found union select doc_id, label from hit) group by 1)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(base.n, 0) as n_base, cast(a as bigint) as first_word, cast(b as bigint) as last_word,

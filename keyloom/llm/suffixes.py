@@ -14,10 +14,10 @@ by a hash of the place (of about GROUP_ROWS each). There they are not compared:
 places with the same passage meet however common their first words are.
 Words are compared as 32-bit hashes (lower case a-z) and passages as 64-bit hashes beside those of their first words.
 
-Rows: one for each repeated passage of a document: doc_id, start_word, end_word (exclusive), n_words,
+Rows: one for each repeated passage of a row: doc_id, start_word, end_word (exclusive), n_words,
 match_id (a document with a passage in it, the smallest, but the largest for the smallest itself), matches (places that share a passage). Null
 and empty texts have none; rows without an id are left out, as results go by id;
-a repeated row repeats all passages of min_words. Very long texts are read whole. Empty tables give
+a repeated row repeats all passages of min_words, and is reported once; rows of one id with other texts are looked at each by its own words. Very long texts are read whole. Empty tables give
 empty results; extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import annotate, materialise
+from keyloom.llm.common import annotate, fits, materialise, settle
 from keyloom.llm.jaccard import mix, word_hashes
 
 MIN_WORDS = 50
@@ -37,7 +37,9 @@ GRAM = 16
 GROUP_ROWS = 4096
 CHUNK_ROWS = 16_384
 OWN = 1 << 12  # two small numbers in one
-NAMES = ["doc_id", "at", "s", "e", "match_id", "h", "run", "w"]
+NAMES = ["doc_id", "row", "at", "s", "e", "match_id", "h", "run", "w"]
+#: Very common first words that are broadcast at most to be counted apart.
+BROADCAST_HOT = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,7 +62,7 @@ def kept_suffixes(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRA
 
 
 def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    docs = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")).where("doc_id is not null")
+    docs = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text"), F.xxhash64(documents[text]).alias("row")).where("doc_id is not null")
     left, right = min_words - gram, min_words
 
     def make():
@@ -72,11 +74,17 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
         return work
 
-    kept = materialise(annotate(docs, ["doc_id"], "text", make, "at array<int>, h array<bigint>, own array<int>").where("size(at) > 0"))
-    suffixes = kept.select("doc_id", F.explode(F.arrays_zip("at", "h", "own")).alias("x")).select("doc_id", "x.at", "x.h", "x.own")
-    shared = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    places = suffixes.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h", "n", "own")).alias("x"))
-    todo = docs.join(places, "doc_id").select("doc_id", "text", "x")
+    kept = materialise(annotate(docs, ["doc_id", "row"], "text", make, "at array<int>, h array<bigint>, own array<int>").where("size(at) > 0"))
+    suffixes = kept.select("doc_id", "row", F.explode(F.arrays_zip("at", "h", "own")).alias("x")).select("doc_id", "row", "x.at", "x.h", "x.own")
+    shared = materialise(suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = shared.where(F.col("n") > GROUP_ROWS)
+    if hot.limit(1).count() and fits(hot, BROADCAST_HOT):  # one key may have a third of all places: it meets its count where it stands
+        rest = suffixes.join(F.broadcast(hot.select("h")), "h", "left_anti").join(shared, "h")
+        counted = rest.unionByName(suffixes.join(F.broadcast(hot), "h"))
+    else:
+        counted = suffixes.join(shared, "h")
+    places = counted.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "h", "n", "own")).alias("x"))
+    todo = docs.join(places, ["doc_id", "row"]).select("doc_id", "text", "x", "row")
 
     def around(batches):
         for batch in batches:
@@ -99,32 +107,32 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
                 rows = context.astype(">u4")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        flat.field("h").slice(lo, hi - lo), flat.field("n").slice(lo, hi - lo), part.column(0).take(pa.array(own)),
+                        flat.field("h").slice(lo, hi - lo), flat.field("n").slice(lo, hi - lo), part.column(0).take(pa.array(own)), part.column(3).take(pa.array(own)),
                         pa.array(pos.astype(np.int32)), flat.field("own").slice(lo, hi - lo),
                         pa.array([r.tobytes() for r in rows], pa.binary()),
                     ],
-                    names=["h", "n", "doc_id", "at", "own", "words"],
+                    names=["h", "n", "doc_id", "row", "at", "own", "words"],
                 )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, at int, own int, words binary")
-    deal = F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("n") / GROUP_ROWS).cast("bigint"))
+    known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, row bigint, at int, own int, words binary")
+    deal = F.pmod(F.xxhash64("doc_id", "row", "at"), F.ceil(F.col("n") / GROUP_ROWS).cast("bigint"))
     dealt = known.withColumn("deal", deal).withColumn("hot", F.col("n") > GROUP_ROWS).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
     compared = materialise(
-        dealt.select("h", "deal", "hot", "doc_id", "at", "own", "words").mapInArrow(
-            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, w array<bigint>"
+        dealt.select("h", "deal", "hot", "doc_id", "row", "at", "own", "words").mapInArrow(
+            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, row bigint, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, w array<bigint>"
         )
     )
-    found = compared.where("w is null").select("doc_id", "s", "e", "match_id")
-    common = compared.where("w is not null").select("doc_id", "s", "h", "run", "w")
+    found = compared.where("w is null").select("doc_id", "row", "s", "e", "match_id")
+    common = compared.where("w is not null").select("doc_id", "row", "s", "h", "run", "w")
     if common.limit(1).count():
         found = found.unionByName(_repeated(common, min_words))
     # matched stretches of a document, merged where they touch
-    order = Window.partitionBy("doc_id").orderBy("s", "e")
+    order = Window.partitionBy("doc_id", "row").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spread = found.groupBy("doc_id", "s").agg(F.max("e").alias("e"), F.min("match_id").alias("match_id"), F.count(F.lit(1)).alias("matches"))
+    spread = found.groupBy("doc_id", "row", "s").agg(F.max("e").alias("e"), F.min("match_id").alias("match_id"), F.count(F.lit(1)).alias("matches"))
     islands = spread.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("s")).cast("int")).withColumn("island", F.sum("fresh").over(order))
-    return islands.groupBy("doc_id", "island").agg(
+    return islands.groupBy("doc_id", "row", "island").agg(
         F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("match_id").alias("match_id"), F.sum("matches").alias("matches")
     ).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_id", "matches")
 
@@ -143,7 +151,7 @@ def _repeated(places: DataFrame, min_words: int) -> DataFrame:
     hits = materialise(hits.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")))
     other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
     return places.drop("w").join(hits, ["h", "run"]).select(
-        "doc_id", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("last") + min_words).alias("e"), other.alias("match_id")
+        "doc_id", "row", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("last") + min_words).alias("e"), other.alias("match_id")
     )
 
 
@@ -177,7 +185,7 @@ def compare(batches, left: int, right: int, min_words: int):
         ids = table.column("doc_id").combine_chunks()
         return pa.RecordBatch.from_arrays(
             [
-                ids, table.column("at").combine_chunks(), pa.array(begin), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), ids.type),
+                ids, table.column("row").combine_chunks(), table.column("at").combine_chunks(), pa.array(begin), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), ids.type),
                 table.column("h").combine_chunks(), pa.array(run.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w.view(np.int64))),
             ],
             names=NAMES,
@@ -221,7 +229,7 @@ def compare(batches, left: int, right: int, min_words: int):
         none = len(mine)
         yield pa.RecordBatch.from_arrays(
             [
-                ids.take(pa.array(mine)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), distinct.take(pa.array(other)),
+                ids.take(pa.array(mine)), table.column("row").combine_chunks().take(pa.array(mine)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), distinct.take(pa.array(other)),
                 pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())),
             ],
             names=NAMES,
@@ -242,3 +250,4 @@ def compare(batches, left: int, right: int, min_words: int):
             held, rows = rest.to_batches(), rest.num_rows
     if held:
         yield from work(pa.Table.from_batches(held).combine_chunks())
+    settle()

@@ -140,24 +140,34 @@ def phrase_rows(text):
 
 
 def template_rows(text):
-    words = plain_words(text)
-    span = max(len(re.split(licenses.SEPARATORS, t)) for _, t in licenses.TEMPLATES)
-    out = set(filter(None, phrase_rows(text)[4].split(",")))
-    for label, t in licenses.TEMPLATES:
-        w = set(licenses.template_words(t))
-        for i in range(0, max(1, len(words)), span):
-            if len(w & set(words[i : i + 2 * span])) >= 0.8 * len(w):
+    words, out, best = plain_words(text), set(filter(None, phrase_rows(text)[4].split(","))), 0.0
+    for label, t, names in licenses.TEMPLATES:
+        own = licenses.words_of(t)
+        tokens = set(own)
+        for i in range(max(1, len(words) - len(own) + 1)):
+            held = set(words[i : i + len(own)])
+            if set(licenses.words_of(names)) <= held and len(tokens & held) >= 0.8 * len(tokens):
                 out.add(label)
-    return (",".join(sorted(out)),)
+                best = max(best, len(tokens & held) / len(tokens))
+    return ",".join(sorted(out)), best
 
 
-def test_license_scans(docs, empty):
+def test_license_scans(spark, docs, empty):
     found = licenses.scan(docs)
     checked(found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), phrase_rows)
-    checked(found.select("doc_id", "labels"), template_rows)
-    assert all(0 <= r["score"] <= 1 for r in found.collect())
+    checked(found.select("doc_id", "labels", "score"), template_rows)
     assert licenses.scan(empty).count() == 0
     assert licenses.scan(docs, templates=(), phrases=()).where("labels <> ''").count() == 0
+    filler = " ".join(f"f{i}" for i in range(300))
+    lines = [
+        ("Released under the Apache License 1.1", ""), ("Licensed under the BSD License, Version 2.0", "bsd"), ("released under license the", ""),
+        (f"{filler} {licenses.TEMPLATES[1][1]} {filler}", "mit"), (f"x {filler} {licenses.TEMPLATES[3][1].replace('Unless', 'if')}", "apache-2"), (None, ""), ("", ""),
+    ]
+    rows = [(7, t) for t, _ in lines] + [(None, lines[3][0])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["labels"] for r in got.collect()) == sorted([x for _, x in lines] + ["mit"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "tile_token" in plan and "BroadcastHashJoin" in plan and "Python" not in plan
 
 
 # ---- 3 ---------------------------------------------------------------------------
@@ -233,6 +243,15 @@ def test_suffix_dedup_deals_large_groups(spark, monkeypatch):
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == {(i, i % 7 + 3, i % 7 + 63) for i in range(40)}
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark, monkeypatch):
+    word = [" ".join(f"w{k}n{i}" for i in range(80)) for k in range(2)]
+    rows = [(2, word[0]), (9, word[0]), (9, "v0 v1 v2 v3 v4"), (9, "x " + word[1]), (11, word[1]), (12, None), (13, word[1]), (13, word[1])]
+    for most in (suffixes.GROUP_ROWS, 1):
+        monkeypatch.setattr(suffixes, "GROUP_ROWS", most)
+        found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in found) == [(2, 0, 80), (9, 0, 80), (9, 1, 81), (11, 0, 80), (13, 0, 80)]
+
+
 def passages_of(spark, rows):
     """doc_id -> places in the repeated passages found."""
     got = defaultdict(set)
