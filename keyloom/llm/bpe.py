@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 
 from keyloom.llm.common import annotate, hold
 
-#: Words whose tokens a worker keeps from one call to the next at most (bounded memory).
-CACHE_WORDS = 50_000
+#: Words after which those a worker met before are given up, unless they are met again (bounded memory).
+CACHE_WORDS = 60_000
 #: Words that are encoded side by side.
 WORDS = 16_384
 #: States of the transition table in a worker at most, but for those of one call; then it is made afresh.
-STATES = 120_000
+STATES = 220_000
 END = 256  # stands for the end-of-word mark; letters are the bytes
 ALWAYS = 1 << 60
 
@@ -118,12 +118,12 @@ class WordAutomaton:
         self._clear()
 
     def _clear(self) -> None:
-        """An empty table: rows are states, columns letters, -1 where a transition was not met yet."""
-        self.column = np.full(END + 1, -1, np.int64)
-        self.table = np.full((1024, 32), -1, np.int32)
+        """An empty table: sorted numbers of state and letter, and the next states."""
+        self.keys = np.zeros(0, np.int64)
+        self.to = np.zeros(0, np.int32)
         self.numbers: dict[bytes, int] = {}
         self.states: list[bytes] = []
-        self.last = np.full(1024, -1, np.int32)
+        self.last = array("i")
         self._number([0, 0])
 
     def _number(self, numbers: list[int]) -> int:
@@ -133,11 +133,7 @@ class WordAutomaton:
         if got is None:
             got = self.numbers[key] = len(self.states)
             self.states.append(key)
-            if got == len(self.last):
-                more = got // 2
-                self.table = np.concatenate([self.table, np.full((more, self.table.shape[1]), -1, np.int32)])
-                self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
-            self.last[got] = numbers[0] - 1
+            self.last.append(numbers[0] - 1)
         return got
 
     def _step(self, state: int, c: int) -> int:
@@ -156,23 +152,26 @@ class WordAutomaton:
         if last:
             open_[0] = last
             open_.append(last << 24)
-        nxt = self._number(open_)
-        self.table[state, self.column[c]] = nxt
-        return nxt
-
-    def _columns(self, letters: np.ndarray) -> None:
-        """A column of the table for every letter that has none."""
-        for c in np.unique(letters):
-            if self.column[c] < 0:
-                self.column[c] = self.column.max() + 1
-                if self.column[c] == self.table.shape[1]:
-                    self.table = np.concatenate([self.table, np.full((len(self.table), 16), -1, np.int32)], axis=1)
+        return self._number(open_)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """The table's entries at the numbers of state and letter; those not met before are made first."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            new = np.unique(keys[~known])
+            to = np.array([self._step(int(k) >> 9, int(k) & 511) for k in new], np.int32)
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.to = np.insert(self.keys, place, new), np.insert(self.to, place, to)
+            at = np.searchsorted(self.keys, keys)
+        return self.to[at]
 
     def encode(self, words: Sequence[bytes], mark: bool = False) -> list[list[int]]:
         """Of non-empty words the labels on their accepting paths; ``mark`` adds the end-of-word mark. All words move on by one letter at a time."""
         if not words:
             return []
-        if len(self.states) >= self.most or self.table.size > 64 * self.most:
+        if len(self.states) >= self.most:
             self._clear()
         n, more = len(words), int(mark)
         sizes = np.array([len(w) + more for w in words])
@@ -180,8 +179,6 @@ class WordAutomaton:
         letters = np.full(int(sizes.sum()), END, np.int64)
         plain = np.frombuffer(b"".join(words), np.uint8)
         letters[np.arange(len(plain)) + np.repeat(np.arange(n) * more, sizes - more)] = plain
-        self._columns(letters)
-        columns = self.column[letters]
         order = np.argsort(-sizes, kind="stable")
         by_size, at = sizes[order], first[order]
         state = np.zeros(n, np.int64)
@@ -189,14 +186,9 @@ class WordAutomaton:
         for step in range(int(by_size[0])):
             m = int(np.searchsorted(-by_size, -step, side="left"))  # words with more letters than ``step``
             here = at[:m] + step
-            nxt = self.table[state[:m], columns[here]]
-            new = np.flatnonzero(nxt < 0)
-            if len(new):
-                for s, c in np.unique(np.stack([state[new], letters[here[new]]]), axis=1).T:
-                    self._step(int(s), int(c))
-                nxt[new] = self.table[state[new], columns[here[new]]]
+            nxt = self._next(state[:m] << 9 | letters[here])
             state[:m] = nxt
-            ends[here] = self.last[nxt]
+            ends[here] = np.frombuffer(self.last, np.int32)[nxt]
         # labels from the end of every word back to its start
         own, stop = np.arange(n), first + sizes
         rows, labels = [], []
@@ -231,7 +223,8 @@ def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix:
 class WordCodec:
     """Normaliser, pre-tokenizer and automaton of a word-level BPE file of the tokenizers library."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, strings: bool = True):
+        self.strings = strings
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -248,23 +241,30 @@ class WordCodec:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def decode(self, ids) -> list[str]:
         """The arc labels, as text."""
         return [self.names[i] for i in ids]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that are not known."""
-        new = list(words)
+        """Encode words that are not known. Words of before the last CACHE_WORDS go, unless they are met again."""
+        new = []
+        for w in words:
+            got = self.older.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                self.known[w] = got
         for a in range(0, len(new), WORDS):
             part = new[a : a + WORDS]
             for w, ids in zip(part, self.automaton.encode([w.encode("utf-8") for w in part], self.mark), strict=True):
-                self.known[w] = (ids, " ".join([self.digits[i] for i in ids]), " ".join(self.decode(ids)))
+                self.known[w] = (ids, " ".join([self.digits[i] for i in ids]), " ".join(self.decode(ids))) if self.strings else (ids, None, None)
 
     def found(self, texts: Sequence[str | None]) -> list[list[tuple[list[int], str, str]]]:
         """For every pre-split word of every text: ids, and ids and labels joined by spaces."""
         if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         parts = [self._parts(t or "") for t in texts]
         missing = {w for words in parts for w in words}
         missing.difference_update(self.known)
@@ -293,8 +293,9 @@ class WordCodec:
         return self.words(text.lower())
 
 
-def codec(file: str) -> WordCodec:
-    return hold(("bpe", file), lambda: WordCodec(file))
+def codec(file: str, strings: bool = True) -> WordCodec:
+    """``strings``: whether ids and labels are wanted as text too."""
+    return hold(("bpe", file, strings), lambda: WordCodec(file, strings))
 
 
 def encode_documents(
@@ -320,7 +321,7 @@ def encode_documents(
     }
 
     def make():
-        c = codec(file)
+        c = codec(file, strings=any(n not in ("n_tokens", "ids") for n in wanted))
 
         def work(texts):
             found = c.found(texts)
