@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.ordered import borders, range_of
+
 
 def mapper_columns(template: list[str], key: list[Column], value: list[Column]) -> tuple[list[Column], bool]:
     """Columns of a mapped key from a template of literals, ``{K[i]}``, ``{V[i]}`` and a last ``{...}``; doubled braces are literal.
@@ -56,20 +58,38 @@ def asof(left: DataFrame, right: DataFrame, on: str, columns: list[str], by: lis
     """``left`` with ``columns`` of the nearest ``right`` row below (<, <=) or above (>, >=) its ``on``.
 
     Both sides are put in one order and the last right row seen is carried on; groups of ``by`` are independent.
+    Without ``by`` the order is cut into ranges, and one row for each range tells what it carries on. A null key meets nothing.
     """
     back, equal = direction[0] == "<", direction.endswith("=")
     side = 0 if equal == back else 1  # of right rows among equal keys: before left ones if equal keys count backwards
     null_of = lambda df, *c: F.expr(f"cast(null as {df.select(F.struct(*c)).schema[0].dataType.simpleString()})")
+    known = right.where(F.col(on).isNotNull())
     a = left.select(F.struct("*").alias("_l"), *by, F.col(on).alias("_o"), F.lit(1 - side).alias("_s"), null_of(right, *columns).alias("_v"))
-    b = right.select(null_of(left, "*").alias("_l"), *by, F.col(on).alias("_o"), F.lit(side).alias("_s"), F.struct(*columns).alias("_v"))
-    frame = Window.partitionBy(*by).orderBy("_o", "_s")
+    b = known.select(null_of(left, "*").alias("_l"), *by, F.col(on).alias("_o"), F.lit(side).alias("_s"), F.struct(*columns).alias("_v"))
     both = a.unionByName(b)
+    keys = list(by)
+    if not keys:  # one order of all rows, cut into ranges
+        both = both.withColumn("_r", range_of(F.col("_o"), borders(known, on)))
+        keys = ["_r"]
+    frame = Window.partitionBy(*keys).orderBy("_o", "_s")
     carried = (
         F.last("_v", ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, 0))
         if back
         else F.first("_v", ignorenulls=True).over(frame.rowsBetween(0, Window.unboundedFollowing))
     )
-    return both.withColumn("_c", carried).where("_l is not null").select("_l.*", *[F.col("_c").getField(c).alias(c) for c in columns])
+    got = both.withColumn("_c", carried).where("_l is not null")
+    if not by:  # what the ranges before or behind carry in: one row for each range
+        pick = F.max_by if back else F.min_by
+        ends = both.groupBy("_r").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col("_o"))).alias("_e"))
+        order = Window.orderBy("_r")
+        over = (
+            F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+            if back
+            else F.first("_e", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+        )
+        got = got.join(F.broadcast(ends.select(F.col("_r").alias("_q"), over.alias("_in"))), F.col("_r") == F.col("_q"), "left")
+        got = got.withColumn("_c", F.when(F.col("_o").isNotNull(), F.coalesce("_c", "_in")))
+    return got.select("_l.*", *[F.col("_c").getField(c).alias(c) for c in columns])
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int | None = None, by: list[str] = ()) -> DataFrame:
@@ -94,14 +114,21 @@ def overlapping(a: DataFrame, b: DataFrame, width: int | None = None, by: list[s
 def timestamp_to_version(queries: DataFrame, marks: DataFrame, rate: int = 1_000_000) -> DataFrame:
     """``queries`` (ts) with the version that the last mark (ts, version) before gives, carried on at ``rate`` a second."""
     got = asof(queries, marks.withColumn("mark_ts", F.col("ts")), "ts", ["mark_ts", "version"])
-    gone = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("mark_ts").cast("timestamp"))
-    return got.withColumn("version", F.col("version") + F.floor(gone * rate / 1_000_000)).drop("mark_ts")
+    got = got.withColumn("_g", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("mark_ts").cast("timestamp")))
+    return got.withColumn("version", F.col("version") + _scaled("_g", rate, 1_000_000)).drop("mark_ts", "_g")
 
 
 def version_to_timestamp(queries: DataFrame, marks: DataFrame, rate: int = 1_000_000) -> DataFrame:
     """The inverse: ``queries`` (version) with ts."""
     got = asof(queries, marks.withColumn("mark", F.col("version")), "version", ["mark", "ts"])
-    return got.withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor((F.col("version") - F.col("mark")) * 1_000_000 / rate))).drop("mark")
+    got = got.withColumn("_g", F.col("version") - F.col("mark"))
+    return got.withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + _scaled("_g", 1_000_000, rate))).drop("mark", "_g")
+
+
+def _scaled(column: str, times: int, over: int) -> Column:
+    """floor(column * times / over) in whole numbers; the product of the whole column, which may not fit, is not made."""
+    rest = F.pmod(F.col(column), F.lit(over))
+    return (F.expr(f"(`{column}` - pmod(`{column}`, {over})) div {over}")) * times + F.floor((rest * times).cast("decimal(38,0)") / over).cast("bigint")
 
 
 def compare_replicas(a: DataFrame, b: DataFrame, key: list[str], value: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def write_buckets(pairs: list[tuple], count: int) -> list[tuple]:
 
 
 def read_buckets(ranges: list[tuple], count: int) -> list[tuple]:
-    """(begin, end, opened, total) of buckets over (begin, end) ranges: one closes at the begin where its openings reach total // count.
+    """(begin, end, opened, total) of buckets over (begin, end) ranges: one closes at the first border, begin or end, behind which its openings are total // count or more.
 
     ``total`` also counts ranges that were open when the bucket began.
     """
@@ -52,14 +52,15 @@ def read_buckets(ranges: list[tuple], count: int) -> list[tuple]:
     for key in sorted(borders):
         ups, downs = borders[key]
         live -= downs
-        if begin is not None and opened >= goal and ups:
+        if begin is not None and opened >= goal:
             out.append((begin, key, opened, opened + carried))
             begin, opened, carried = None, 0, live
-        if begin is None:
-            begin, carried = key, live
         opened += ups
         live += ups
-    out.append((begin, max(borders), opened, opened + carried))
+        if begin is None and opened + carried:
+            begin = key
+    if begin is not None:
+        out.append((begin, max(borders), opened, opened + carried))
     return out
 
 

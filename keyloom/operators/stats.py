@@ -76,20 +76,22 @@ def hot_ranges(sizes: Order, reads: Order, begin, end, ratio: float, chunk: int)
     total = sizes.between(begin, end)
     if total <= 0:
         return []
-    if total < chunk:
+    if total <= chunk:
         read = reads.between(begin, end)
         return [(begin, end, total, read)] if read > ratio * total else []
+    stop = bisect_left(sizes.keys, end)  # no chunk goes on beyond the first sampled key at or behind the end
     out: list[tuple] = []
     at = begin
-    while at < end:
+    while True:
         i = sizes.beyond(sizes.below(at) + chunk)
         if i < len(sizes.keys) and sizes.keys[i] == at:
             i += 1
-        to = sizes.keys[i] if i < len(sizes.keys) else None
-        if to is None:
+        i = min(i, stop) if i < len(sizes.keys) else i
+        if i >= len(sizes.keys) or sizes.keys[i] <= at:
             break
+        to = sizes.keys[i]
         size, read = sizes.between(at, to), reads.between(at, to)
-        if read > ratio * size:
+        if read > ratio * max(chunk, size):
             if out and out[-1][1] == at:
                 b, _, s, r = out.pop()
                 out.append((b, to, s + size, r + read))
@@ -126,28 +128,54 @@ def shard_split_points(sample: DataFrame, chunk: int, shard: str = "shard", key:
     return by_shard(sample, shard, run, f"`{shard}` {name}, n bigint, key {kind}")
 
 
-def split_metrics(order: Order, rates: dict, begin, end, size_limit: int, rate_limit: float) -> list:
-    """Cuts so that no piece is over the size limit or the rate limit, whichever comes first (no jitter)."""
-    cuts, size, rate = [], 0, 0.0
-    for i, k in enumerate(order.keys):
-        if not begin <= k < end:
-            continue
-        s, r = order.sums[i + 1] - order.sums[i], rates.get(k, 0.0)
-        if (size and size + s > size_limit) or (rate and rate + r > rate_limit):
-            cuts.append(k)
-            size, rate = 0, 0.0
-        size, rate = size + s, rate + r
+def balanced_piece(left: int, limit: int) -> float:
+    """What the next piece holds, of what is ``left``: under the limit, and less as less is left."""
+    return left / (left / limit + 0.5)
+
+
+def split_metrics(order: Order, rates: Order, begin, end, size_limit: int, rate_limit: int, min_size: int) -> list:
+    """Cuts of [begin, end) into pieces near the size and the rate limit, each by what is left, none under ``min_size``; the nearer limit cuts (no jitter)."""
+    cuts: list = []
+    at = begin
+    while order.between(at, end) >= 2 * min_size:
+        size, rate = order.between(at, end), rates.between(at, end)
+        to = end
+        if size > balanced_piece(size, size_limit):
+            to = position_at(order, at, end, balanced_piece(size, size_limit))
+        to = max(to, position_at(order, at, end, min_size))
+        if rate and rate > balanced_piece(rate, rate_limit):
+            to = min(to, position_at(rates, at, end, balanced_piece(rate, rate_limit)))
+        if to >= end or to <= at:
+            break
+        cuts.append(to)
+        at = to
     return cuts
 
 
-def merge_shards(shards: list[tuple], limit: int) -> list[tuple]:
-    """Neighbouring shards (begin, end, size) absorbed forward while their sum keeps the limit, then backward into a small last one."""
-    out: list[tuple] = []
-    for b, e, s in shards:
-        if out and out[-1][2] + s <= limit and out[-1][1] == b:
-            out[-1] = (out[-1][0], e, out[-1][2] + s)
-        else:
-            out.append((b, e, s))
+def merge_shards(shards: list[tuple], start: int, limit: int, most: int | None = None) -> tuple | None:
+    """(begin, end, size) that small shard number ``start`` of neighbours (begin, end, size) becomes: those behind it are taken in while
+    the sum keeps the limit and there are at most ``most`` shards, then those before it. None if there is nothing to take in."""
+    begin, end, size = shards[start]
+    taken = 1
+    for side in (shards[start + 1 :], shards[:start][::-1]):
+        for b, e, s in side:
+            if size + s > limit or (most is not None and taken >= most) or (b != end and e != begin):
+                break
+            begin, end, size, taken = min(begin, b), max(end, e), size + s, taken + 1
+    return (begin, end, size) if taken > 1 else None
+
+
+def merge_small(shards: list[tuple], limit: int, small: int, most: int | None = None) -> list[tuple]:
+    """All shards after each one under ``small`` was merged with its neighbours, from the first on."""
+    out = list(shards)
+    i = 0
+    while i < len(out):
+        merged = merge_shards(out, i, limit, most) if out[i][2] < small else None
+        if merged:
+            inside = [k for k, (b, e, _) in enumerate(out) if merged[0] <= b and e <= merged[1]]
+            out[inside[0] : inside[-1] + 1] = [merged]
+            i = inside[0]
+        i += 1
     return out
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from keyloom.functions.tuples import Subspace, packed, packed_long, packed_string, tuple_range
-from keyloom.operators import joins, layers, profiler, scans, versions
+from keyloom.operators import joins, layers, ordered, profiler, scans, versions
 from keyloom.operators.scans import KeySelector as K
 from keyloom.plans.registry import EVENT_LOG, ORDERS_KV, SHARD_MAP, TYPE_MAP, USER_SPANS, event_log, orders_kv, query, shard_map, type_map, user_spans
 
@@ -99,9 +99,9 @@ def read_version_asof(t):
     return versions.state_at(event_log(t), 5000)
 
 
-@query(f"select key, address from {ORDERS_KV} o join {SHARD_MAP} s on key >= s.\"begin\" and key < s.\"end\" where key < 20000")
+@query(f"select key, address from {ORDERS_KV} o join {SHARD_MAP} s on key >= s.\"begin\" and key < s.\"end\"")
 def get_addresses_for_key(t):
-    keys = orders_kv(t).where("key < 20000").select("key")
+    keys = orders_kv(t).select("key")
     shards = shard_map(t).select(F.col("begin").alias("key"), "address")
     return joins.asof(keys, shards, "key", ["address"])
 
@@ -130,9 +130,9 @@ def tuple_prefix_range(t):
     return keyed.where(F.col("k").between(F.lit(begin), F.lit(end))).select("c_custkey", "c_name")
 
 
-@query("select event_id, value from events where value > 400 and event_type = 'purchase'")
+@query("select event_id, value from events where value > 50 and event_type = 'purchase'")
 def value_filter(t):
-    return t("events").where("value > 400 and event_type = 'purchase'").select("event_id", "value")
+    return t("events").where("value > 50 and event_type = 'purchase'").select("event_id", "value")
 
 
 @query("select distinct c_nationkey, c_mktsegment from customer")
@@ -203,38 +203,39 @@ def asof_seek(t):
     marks = marks.groupBy("ts").agg(F.max("version").alias("version"))
     top = marks.select("ts", "version")
     # the greatest version of any earlier mark: the order of versions is not the order of times
-    from pyspark.sql import Window
-
-    top = top.withColumn("version", F.max("version").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    top = ordered.running_max(top, "ts", "version", "version")
     probe = t("orders").select("o_orderkey", (F.col("o_orderdate") + F.expr("interval 9 years")).alias("ts"))
     return joins.asof(probe, top, "ts", ["version"]).select("o_orderkey", "version")
 
 
-@query("select event_id, (select min(c_custkey) from customer where c_custkey > user_id * 7) as next_key, (select max(c_custkey) from customer where c_custkey < user_id * 7) as last_key from events where event_id < 2000")
+@query(
+    "with e as (select event_id, user_id * 7 as k from events) select event_id, n.c_custkey as next_key, l.c_custkey as last_key "
+    "from e asof left join customer n on n.c_custkey > e.k asof left join customer l on l.c_custkey < e.k"
+)
 def asof_seek_both(t):
-    probe = t("events").where("event_id < 2000").select("event_id", (F.col("user_id") * 7).alias("k"))
+    probe = t("events").select("event_id", (F.col("user_id") * 7).alias("k"))
     keys = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("next_key"), F.col("c_custkey").alias("last_key"))
     up = joins.asof(probe, keys.select("k", "next_key"), "k", ["next_key"], direction=">")
     return joins.asof(up, keys.select("k", "last_key"), "k", ["last_key"], direction="<").select("event_id", "next_key", "last_key")
 
 
 @query(
-    "with m as (select ts, event_id * 1000 as version from events where event_id % 500 = 0), q as (select event_id, ts from events where event_id % 37 = 0) "
+    "with m as (select ts, event_id * 1000 as version from events where event_type = 'signup'), q as (select event_id, ts from events) "
     "select event_id, m.version + (epoch_us(q.ts) - epoch_us(m.ts)) as version from q asof left join m on q.ts >= m.ts"
 )
 def timestamp_to_version(t):
-    marks = t("events").where("event_id % 500 = 0").select("ts", (F.col("event_id") * 1000).alias("version"))
-    probe = t("events").where("event_id % 37 = 0").select("event_id", "ts")
+    marks = t("events").where("event_type = 'signup'").select("ts", (F.col("event_id") * 1000).alias("version"))
+    probe = t("events").select("event_id", "ts")
     return joins.timestamp_to_version(probe, marks).select("event_id", "version")
 
 
 @query(
-    "with m as (select ts, event_id * 1000 as version from events where event_id % 500 = 0), q as (select event_id, event_id * 1000 + 77 as version from events where event_id % 41 = 0) "
+    "with m as (select ts, event_id * 1000 as version from events where event_type = 'signup'), q as (select event_id, event_id * 1000 + 77 as version from events) "
     "select event_id, epoch_us(m.ts) + (q.version - m.version) as micros from q asof left join m on q.version >= m.version"
 )
 def version_to_timestamp(t):
-    marks = t("events").where("event_id % 500 = 0").select("ts", (F.col("event_id") * 1000).alias("version"))
-    probe = t("events").where("event_id % 41 = 0").select("event_id", (F.col("event_id") * 1000 + 77).alias("version"))
+    marks = t("events").where("event_type = 'signup'").select("ts", (F.col("event_id") * 1000).alias("version"))
+    probe = t("events").select("event_id", (F.col("event_id") * 1000 + 77).alias("version"))
     return joins.version_to_timestamp(probe, marks).select("event_id", F.unix_micros("ts").alias("micros"))
 
 
@@ -263,9 +264,9 @@ def consistency_compare(t):
     return joins.compare_replicas(o.where("k % 7 <> 0"), other, ["k"], ["v"])
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def anti_join(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select s_suppkey, count(*) as n from supplier join customer on s_acctbal > c_acctbal and s_nationkey = c_nationkey group by 1")

@@ -43,11 +43,11 @@ def split_metrics(t):
         import pandas as pd
 
         order = stats.Order(zip(pdf["key"], pdf["size"], strict=True))
-        rates = {k: 1.0 for k in pdf["key"][:: 3]}
-        cuts = stats.split_metrics(order, rates, order.keys[0], order.keys[-1] + 1, 2000, 60.0)
+        rates = stats.Order((k, 1 + k % 3) for k in pdf["key"])
+        cuts = stats.split_metrics(order, rates, order.keys[0], order.keys[-1] + 1, 2000, 400, 300)
         return pd.DataFrame({"shard": [which] * len(cuts), "key": cuts})
 
-    return stats.by_shard(_order_sample(t).orderBy("key"), "shard", run, "shard bigint, key bigint")
+    return stats.by_shard(_order_sample(t), "shard", run, "shard bigint, key bigint")
 
 
 @query()
@@ -101,7 +101,7 @@ def shard_merge(t):
         import pandas as pd
 
         own = [(s * 512, (s + 1) * 512, n) for s, n in sorted(zip(pdf["s"], pdf["size"], strict=True))]
-        return pd.DataFrame([(which, *m) for m in stats.merge_shards(own, 150)], columns=["group", "begin", "end", "size"])
+        return pd.DataFrame([(which, *m) for m in stats.merge_small(own, 600, 120)], columns=["group", "begin", "end", "size"])
 
     return stats.by_shard(shards, "group", run, "group bigint, begin bigint, end bigint, size bigint")
 
@@ -335,20 +335,20 @@ def array_get(t):
     return t("events").where(F.col("event_id").isin(3, 5, 70)).select(F.col("event_id").alias("index"), F.col("user_id").alias("value"))
 
 
-@query("select event_id as doc_id, '[\"k\"]' as path, json_extract_string(props, '$.k') as value from events where event_id < 5000")
+@query("select event_id as doc_id, '[\"k\"]' as path, json_extract_string(props, '$.k') as value from events")
 def document_insert(t):
-    return layers.explode_documents(t("events").where("event_id < 5000"), "event_id", "props")
+    return layers.explode_documents(t("events"), "event_id", "props")
 
 
-@query("select event_id as doc_id, cast(json_extract(props, '$.k') as bigint) as k from events where event_id < 5000")
+@query("select event_id as doc_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def document_get(t):
-    leaves = layers.explode_documents(t("events").where("event_id < 5000"), "event_id", "props")
+    leaves = layers.explode_documents(t("events"), "event_id", "props")
     return layers.assemble_documents(leaves).select("doc_id", F.get_json_object("text", "$.k").cast("bigint").alias("k"))
 
 
-@query("select event_id as doc_id, json_extract_string(props, '$.k') as value from events where event_id < 900")
+@query("select event_id as doc_id, json_extract_string(props, '$.k') as value from events")
 def document_get_subdoc(t):
-    leaves = layers.explode_documents(t("events").where("event_id < 900"), "event_id", "props")
+    leaves = layers.explode_documents(t("events"), "event_id", "props")
     return layers.subdocument(leaves, ["k"]).select("doc_id", "value")
 
 
@@ -375,17 +375,17 @@ def spatial_zorder(t):
     return layers.in_rectangle(p, "z", "x", "y", (5, 950), (20, 1400)).select("p_partkey")
 
 
-@query("select o_orderkey as row, case when o_orderkey % 9 = 0 then 'new' else o_orderstatus end as value from orders where o_orderkey < 20000")
+@query("select o_orderkey as row, case when o_orderkey % 9 = 0 then 'new' else o_orderstatus end as value from orders")
 def compressed_column(t):
-    rows = t("orders").where("o_orderkey < 20000").select(F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("value"))
+    rows = t("orders").select(F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("value"))
     fresh = rows.where("row % 9 = 0").withColumn("value", F.lit("new"))
     return layers.merged_column(layers.pack_column(rows, 64), fresh)
 
 
-@query("select user_id as inbox, event_id as message, rank from (select s.user_id, m.event_id, row_number() over (partition by s.user_id order by m.event_id desc) as rank from (select distinct user_id, event_type from events where event_id % 50 = 0) s join events m on m.event_type = s.event_type) where rank <= 10")
+@query("select user_id as inbox, event_id as message, rank from (select s.user_id, m.event_id, row_number() over (partition by s.user_id order by m.event_id desc) as rank from (select distinct user_id, event_type from events where event_type = 'signup') s join events m on m.event_type = s.event_type) where rank <= 10")
 def pubsub_inbox(t):
     e = t("events")
-    subs = e.where("event_id % 50 = 0").select(F.col("user_id").alias("inbox"), F.col("event_type").alias("feed"))
+    subs = e.where("event_type = 'signup'").select(F.col("user_id").alias("inbox"), F.col("event_type").alias("feed"))
     posts = e.select(F.col("event_type").alias("feed"), F.col("event_id").alias("message"))
     return layers.inbox_messages(subs, posts, 10).select("inbox", "message", F.col("rank").cast("bigint").alias("rank"))
 

@@ -60,9 +60,9 @@ def compare_and_clear(t):
     return folds.ordered_fold(log, ["user_id"], ["event_id"]).select("user_id", F.decode("value", "UTF-8").alias("value"))
 
 
-@query("select event_id, lpad(upper(printf('%x', event_id * 1000000)), 16, '0') || '0000' as stamp from events where event_id < 3000")
+@query("select event_id, lpad(upper(printf('%x', event_id * 1000000)), 16, '0') || '0000' as stamp from events")
 def set_versionstamped_value(t):
-    e = t("events").where("event_id < 3000")
+    e = t("events")
     template = F.unhex(F.lit("00" * 10 + "00000000"))
     return e.select("event_id", F.hex(folds.place_stamp(template, F.col("event_id") * 1000000, F.lit(0))).alias("stamp"))
 
@@ -72,9 +72,9 @@ def set_clear(t):
     return versions.state_at(event_log(t), 1 << 62)
 
 
-@query("select event_id, hex(encode('k')) || lpad(upper(printf('%x', event_id * 1000000)), 16, '0') || lpad(upper(printf('%x', event_id % 7)), 4, '0') || hex(encode('z')) as key from events where event_id < 3000")
+@query("select event_id, hex(encode('k')) || lpad(upper(printf('%x', event_id * 1000000)), 16, '0') || lpad(upper(printf('%x', event_id % 7)), 4, '0') || hex(encode('z')) as key from events")
 def set_versionstamped_key(t):
-    e = t("events").where("event_id < 3000")
+    e = t("events")
     template = F.concat(F.encode(F.lit("k"), "UTF-8"), F.unhex(F.lit("00" * 10)), F.encode(F.lit("z"), "UTF-8"), F.unhex(F.lit("01000000")))
     return e.select("event_id", F.hex(folds.place_stamp(template, F.col("event_id") * 1000000, F.col("event_id") % 7)).alias("key"))
 
@@ -123,9 +123,9 @@ def inventory_sum(t):
     return lines.groupBy("item").agg(F.sum("q").cast("bigint").alias("ordered"), F.countDistinct("l_orderkey").alias("orders"))
 
 
-@query("select event_id % 2 as half, count(*) as n from events where event_id < 9000 group by 1")
+@query("select event_id % 2 as half, count(*) as n from events group by 1")
 def increment_sum(t):
-    e = t("events").where("event_id < 9000").withColumn("half", F.col("event_id") % 2).withColumn("one", F.lit(1).cast("bigint"))
+    e = t("events").withColumn("half", F.col("event_id") % 2).withColumn("one", F.lit(1).cast("bigint"))
     return folds.fold_numbers(e, ["half"], "one", ["add"]).select("half", F.col("fold_add").cast("bigint").alias("n"))
 
 
@@ -200,12 +200,12 @@ def conflict_detect(t):
 
 @query(
     "select a.event_id as txn, a.user_id as \"begin\", a.user_id + 1 as \"end\", max(b.event_id) as version from events a join events b on a.user_id = b.user_id + 1 and b.event_id > a.event_id // 50 * 50 - 120 and b.event_id < a.event_id // 50 * 50 "
-    "where a.event_id < 4000 and b.event_type = 'purchase' group by 1, 2, 3"
+    "where b.event_type = 'purchase' group by 1, 2, 3"
 )
 def conflicting_keys(t):
-    tx = _transactions(t).where("txn < 4000")
+    tx = _transactions(t)
     reads = tx.select("txn", "snapshot", F.explode("reads").alias("r")).select("txn", "snapshot", "r.begin", "r.end")
-    history = t("events").where("event_type = 'purchase' and event_id < 4000").select((F.col("user_id") + 1).alias("begin"), (F.col("user_id") + 2).alias("end"), F.col("event_id").alias("version"))
+    history = t("events").where("event_type = 'purchase'").select((F.col("user_id") + 1).alias("begin"), (F.col("user_id") + 2).alias("end"), F.col("event_id").alias("version"))
     batch = F.floor(F.col("txn") / 50) * 50
     # writes of a transaction's own batch are resolved inside it
     r = reads.withColumn("upto", batch)
@@ -232,11 +232,11 @@ def conflict_canonical(t):
     return intervals.canonical(user_spans(t), ["user_id"])
 
 
-@query("select event_id, row_number() over (order by ts, event_id) as place from events where event_id < 5000")
+@query("select event_id, row_number() over (order by ts, event_id) as place from events")
 def versionstamp_order(t):
     from keyloom.operators.ordered import position
 
-    e = t("events").where("event_id < 5000").withColumn("stamp", folds.stamp(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")))
+    e = t("events").withColumn("stamp", folds.stamp(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")))
     return position(e, "stamp", "place", "event_id").select("event_id", "place")
 
 

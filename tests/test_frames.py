@@ -247,3 +247,40 @@ def test_entry_and_catalogue(spark):
 
     assert e.entry(spark).count() == 25
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_rows_without_groups_are_found_across_ranges(spark):
+    import random
+
+    from keyloom.operators import joins
+
+    rng = random.Random(1)
+    right = [(rng.randint(0, 500), i) for i in range(300)] + [(None, -1)]
+    left = [(rng.randint(-5, 520), i) for i in range(300)] + [(None, -2)]
+    r = spark.createDataFrame(right, "k bigint, v bigint").groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "v")
+    best = {}
+    for k, v in right:
+        best[k] = max(v, best.get(k, v))
+    keys = sorted(k for k in best if k is not None)
+    tests = {"<": lambda k, x: x < k, "<=": lambda k, x: x <= k, ">": lambda k, x: x > k, ">=": lambda k, x: x >= k}
+    for direction, ok in tests.items():
+        got = joins.asof(spark.createDataFrame(left, "k bigint, i bigint"), r, "k", ["v"], direction=direction).collect()
+        for row in got:
+            fits = [x for x in keys if row["k"] is not None and ok(row["k"], x)]
+            assert row["v"] == (best[(max if direction[0] == "<" else min)(fits)] if fits else None)
+        assert len(got) == len(left)
+    assert joins.asof(spark.createDataFrame(left, "k bigint, i bigint"), r.limit(0), "k", ["v"]).where("v is not null").count() == 0
+
+
+def test_versions_of_times_years_behind_the_last_mark(spark):
+    import datetime as dt
+
+    from keyloom.operators import joins
+
+    marks = spark.createDataFrame([(dt.datetime(2004, 1, 1), 7)], "ts timestamp_ntz, version bigint")
+    times = [dt.datetime(2024, 6, 1, 0, 0, 0, 123457), dt.datetime(2003, 1, 1), dt.datetime(2004, 1, 1)]
+    got = {r["ts"]: r["version"] for r in joins.timestamp_to_version(spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz"), marks, rate=3_000_000).collect()}
+    gone = (times[0] - dt.datetime(2004, 1, 1)) // dt.timedelta(microseconds=1)
+    assert got == {times[0]: 7 + gone * 3, times[1]: None, times[2]: 7}
+    back = joins.version_to_timestamp(spark.createDataFrame([(7 + gone * 3 + 2,)], "version bigint"), marks, rate=3_000_000).collect()
+    assert back[0]["ts"].replace(tzinfo=None) == times[0]

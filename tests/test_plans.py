@@ -45,3 +45,10 @@ def test_global_orders_do_not_meet_in_one_task(spark, name):
 
 def test_point_reads_have_no_shuffle(spark):
     assert "Exchange" not in plan(spark, "get")
+
+
+@pytest.mark.parametrize("name", ["asof_seek", "asof_seek_both", "timestamp_to_version", "version_to_timestamp"])
+def test_nearest_rows_do_not_meet_in_one_task(spark, name):
+    # what has no partition is a row for each range, which aggregates give
+    for window in re.findall(r"Window \[(.*?)\], \[(.*?)\]", plan(spark, name)):
+        assert "_r#" in window[1] or "_r#" in window[0] or "_e#" in window[0] or "_t#" in window[0]

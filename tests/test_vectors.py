@@ -18,9 +18,6 @@ from keyloom.operators.versions import resolve_batch
 from keyloom.sources import backup
 from keyloom.streaming.changes import Registry, pack_replies
 
-S1 = {"A": 200, "Absolute": 800, "Apple": 1000, "Bah": 20, "Banana": 80, "Bob": 200, "But": 100, "Cat": 300}
-
-
 @pytest.mark.parametrize(
     ("value", "digits"),
     [
@@ -95,35 +92,73 @@ def test_key_helpers():
         next_prefix(b"\xff\xff")
 
 
-def test_range_estimates():
-    o = Order({"Apple": 1000, "Banana": 2000, "Cat": 1000, "Cathode": 1000, "Dog": 1000}.items())
-    assert [o.between(*r) for r in (("A", "D"), ("A", "E"), ("B", "C"))] == [5000, 6000, 2000]
-
-
-@pytest.mark.parametrize(
-    ("end", "chunk", "limit", "cuts"),
-    [("C", 2000, None, ["Bah"]), ("C", 600, None, ["Absolute", "Apple", "Bah"]), ("C", 600, 2, ["Absolute", "Apple"]), ("C", 600, 0, []), ("C", 10000, None, [])],
-)
-def test_split_points(end, chunk, limit, cuts):
-    assert stats.split_points(Order(S1.items()), "A", end, chunk, limit) == cuts
-
+def sampled(seed):
+    """Sorted (key, size) pairs over some even numbers."""
+    rng = random.Random(seed)
+    return sorted((2 * k, rng.choice([1, 5, 20, 90, 300])) for k in rng.sample(range(60), rng.randint(1, 40)))
+
+
+def held(pairs, begin, end):
+    return sum(n for k, n in pairs if begin <= k < end)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_range_estimates_and_split_points(seed):
+    pairs, rng = sampled(seed), random.Random(-seed)
+    begin, end = sorted(rng.sample(range(125), 2))
+    order = Order(pairs)
+    assert order.between(begin, end) == held(pairs, begin, end)
+    chunk = rng.choice([1, 50, 200, 1000])
+    cuts, at = [], begin
+    while True:  # the next cut is the first key behind which more than a chunk was passed, and no cut stands twice
+        far = [k for k, n in pairs if k >= at and held(pairs, at, k) + n > chunk and k != at]
+        if not far or far[0] >= end:
+            break
+        at = far[0]
+        cuts.append(at)
+    for limit in (None, 0, 2):
+        assert stats.split_points(order, begin, end, chunk, limit) == cuts[:limit]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_hot_ranges(seed):
+    pairs, rng = sampled(seed), random.Random(-seed)
+    reads = [(k, n * rng.choice([0, 1, 9])) for k, n in sampled(seed + 100)]
+    begin, end = sorted(rng.sample(range(125), 2))
+    chunk, keys = rng.choice([30, 100, 400]), [k for k, _ in pairs]
+    size = held(pairs, begin, end)
+    pieces, at = [], begin
+    while size > chunk:
+        behind = [k for k, n in pairs if held(pairs, 0, k) + n > held(pairs, 0, at) + chunk and k > at]
+        if not behind:
+            break
+        to = min(behind[0], min((k for k in keys if k >= end), default=behind[0]))
+        if to <= at:
+            break
+        pieces.append((at, to))
+        at = to
+    hot = [p for p in pieces if held(reads, *p) > 2 * max(chunk, held(pairs, *p))]
+    merged = []
+    for b, e in hot:
+        merged[-1:] = [(merged[-1][0], e)] if merged and merged[-1][1] == b else [*merged[-1:], (b, e)]
+    if size <= chunk:
+        merged = [(begin, end)] if size and held(reads, begin, end) > 2 * size else []
+    assert [(b, e) for b, e, *_ in stats.hot_ranges(Order(pairs), Order(reads), begin, end, 2.0, chunk)] == merged
+
+
+def test_split_metrics_cuts_by_what_is_left():
+    order, rates = Order((k, 10) for k in range(1000)), Order((k, 1) for k in range(1000))
+    cuts = stats.split_metrics(order, rates, 0, 1000, 3000, 10**9, 100)
+    sizes = [held([(k, 10) for k in range(1000)], b, e) for b, e in zip([0, *cuts], [*cuts, 1000], strict=True)]
+    left = 10_000
+    for size in sizes[:-1]:  # a key has 10
+        assert abs(size - left * 3000 / (left + 1500)) <= 10
+        left -= size
+    assert left <= left * 3000 / (left + 1500) and max(sizes) <= 3000
+    tight = stats.split_metrics(order, rates, 0, 1000, 3000, 100, 100)
+    assert len(tight) > len(cuts) and all(b - a >= 10 for a, b in zip(tight, tight[1:], strict=False))
+    assert stats.split_metrics(order, rates, 0, 1000, 3000, 100, 6000) == []
 
-def test_split_points_end_is_exclusive():
-    assert stats.split_points(Order({"A": 200, "B": 800}.items()), "A", "B", 600, 1) == []
-
-
-@pytest.mark.parametrize(
-    ("sizes", "reads", "end", "want"),
-    [
-        ({}, {}, "C", [("Bah", "Bob")]),
-        ({"Dah": 300}, {"Final": 2000}, "D", [("Bah", "Bob"), ("Cat", "Dah")]),
-        ({"Dah": 300}, {"Bucket": 2000, "Dog": 5000, "Final": 2000}, "D", [("Bah", "But"), ("Cat", "Dah")]),
-    ],
-)
-def test_hot_ranges(sizes, reads, end, want):
-    size = Order((S1 | {"A": 20, "Absolute": 80} | sizes).items())
-    read = Order(({"Apple": 1000, "Banana": 2000, "Cat": 1000, "Cathode": 1000, "Dog": 1000} | reads).items())
-    assert [(b, e) for b, e, *_ in stats.hot_ranges(size, read, "A", end, 2.0, 200)] == want
 
 
 def test_log_folds():
@@ -188,8 +223,13 @@ def test_backup_files_round_trip():
 def test_buckets_of_profiles():
     assert profiler.write_buckets([("a", 3), ("b", 1), ("c", 4), ("d", 2)], 3) == [("a", "a", 3), ("b", "c", 5), ("d", "d", 2)]
     got = profiler.read_buckets([(1, 5), (2, 3), (6, 8), (7, 9)], 2)
-    assert [g[2] for g in got] == [2, 2] and sum(g[2] for g in got) == 4
-    assert stats.merge_shards([(0, 1, 5), (1, 2, 5), (2, 3, 9), (3, 4, 1)], 10) == [(0, 2, 10), (2, 4, 10)]
+    assert got == [(1, 3, 2, 2), (3, 8, 2, 3), (8, 9, 0, 1)]  # the last reads end behind a bucket that was full at 8
+    assert [g[:2] for g in profiler.read_buckets([(1, 2), (5, 6)], 2)] == [(1, 2), (5, 6)]
+    assert profiler.read_buckets([], 2) == []
+    line = [(0, 1, 5), (1, 2, 5), (2, 3, 9), (3, 4, 1)]
+    assert stats.merge_shards(line, 3, 10) == (2, 4, 10) and stats.merge_shards(line, 0, 10) == (0, 2, 10) and stats.merge_shards(line, 2, 9) is None
+    assert stats.merge_shards(line, 1, 100) == (0, 4, 20) and stats.merge_shards(line, 1, 100, most=2) == (1, 3, 14)
+    assert stats.merge_small(line, 10, 6) == [(0, 2, 10), (2, 4, 10)]
     assert pack_replies([(1, 5), (2, 5), (3, 20), (4, 1)], 10) == [[1, 2], [3], [4]]
 
 
