@@ -32,7 +32,18 @@ def _order_sample(t):
     return o.select((F.col("o_custkey") % 8).alias("shard"), F.col("o_orderkey").alias("key"), F.length("o_orderpriority").cast("bigint").alias("size"))
 
 
-@query()
+ORDER_SUMS = (
+    "with recursive s as (select o_custkey % 8 as shard, o_orderkey as key, length(o_orderpriority) as size, sum(length(o_orderpriority)) over (partition by o_custkey % 8 order by o_orderkey) as upto from orders), "
+    "e as (select shard, min(key) as low, max(key) as high, sum(size) as total from s group by 1), "
+)
+#: The next cut is the first key whose sum is over a chunk more than what lies before the last one.
+NEXT_CUT = (
+    "select c.shard, c.n + 1, min(x.key) from c join e on e.shard = c.shard join s a on a.shard = c.shard and a.key = c.key join s x on x.shard = c.shard and x.key > c.key "
+    "and x.upto > a.upto - a.size + {chunk} where x.key < e.high + {end} group by c.shard, c.n"
+)
+
+
+@query(ORDER_SUMS + f"c as (select shard, -1 as n, low as key from e union all {NEXT_CUT.format(chunk=900, end=0)}) select shard, n, key from c where n >= 0")
 def range_split_points(t):
     return stats.shard_split_points(_order_sample(t), 900)
 
@@ -50,7 +61,11 @@ def split_metrics(t):
     return stats.by_shard(_order_sample(t), "shard", run, "shard bigint, key bigint")
 
 
-@query()
+@query(
+    ORDER_SUMS + "f as (select shard, min(key) as front from s where upto > 1000 group by 1), "
+    "b as (select s.shard, min(s.key) as back from s join e on e.shard = s.shard join s l on l.shard = e.shard and l.key = e.high where s.upto > l.upto - l.size - 1000 group by 1) "
+    "select e.shard, least(greatest(coalesce(front, high), low), high) as front, least(greatest(coalesce(back, high), low), high) as back from e left join f on f.shard = e.shard left join b on b.shard = e.shard"
+)
 def split_estimate(t):
     def run(which, pdf):
         import pandas as pd
@@ -75,7 +90,11 @@ def read_hot_ranges(t):
     return stats.by_shard(_order_sample(t), "shard", run, "shard bigint, begin bigint, end bigint, bytes bigint, read bigint")
 
 
-@query()
+@query(
+    ORDER_SUMS + f"c as (select shard, 0 as n, low as key from e union all {NEXT_CUT.format(chunk='cast(ceil(e.total / 7.0) as bigint)', end=1)}), "
+    "r as (select c.shard, c.n, c.key as low, coalesce(lead(c.key) over (partition by c.shard order by c.n), e.high + 1) as high from c join e on e.shard = c.shard) "
+    "select r.shard, low as \"begin\", high as \"end\", cast((select sum(size) from s where s.shard = r.shard and s.key >= r.low and s.key < r.high) as bigint) as read from r where n < 7"
+)
 def read_hot_equal_divide(t):
     def run(which, pdf):
         import pandas as pd
@@ -173,7 +192,12 @@ def smoother(t):
     return got.select("event_type", "total", F.round("smooth_total", 4).alias("smooth_total"), F.round("smooth_rate", 6).alias("smooth_rate"))
 
 
-@query()
+@query(
+    "with v as (select event_type, list(value order by event_id) as x from events group by 1), "
+    "f as (select event_type, list_reduce(list_transform(x, lambda y: [y, 0.0]), lambda s, y: "
+    "[0.3 * y[1] + 0.7 * (s[1] + s[2]), 0.1 * (0.3 * y[1] + 0.7 * (s[1] + s[2]) - s[1]) + 0.9 * s[2]]) as z from v) "
+    "select event_type, round(z[1], 6) as level, round(z[2], 6) as trend from f"
+)
 def holt_smoother(t):
     got = stats.holt_smooth(t("events"), ["event_type"], "event_id", "value", 0.3, 0.1)
     return got.select("event_type", F.round("level", 6).alias("level"), F.round("trend", 6).alias("trend"))

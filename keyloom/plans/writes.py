@@ -52,7 +52,10 @@ def append_if_fits(t):
     return folds.ordered_fold(log, ["user_id"], ["event_id"]).select("user_id", F.decode("value", "UTF-8").alias("value"))
 
 
-@query()
+@query(
+    "with s as (select user_id, max(event_id) filter (where event_type <> 'error') as put, arg_max(event_type, event_id) filter (where event_type <> 'error') as v, max(event_id) as final from events group by 1) "
+    "select user_id, v as value from s where v is not null and not (v = 'view' and final > put)"
+)
 def compare_and_clear(t):
     kind = F.when(F.col("event_type") == "error", "compare_and_clear").otherwise("set")
     operand = F.when(F.col("event_type") == "error", F.lit("view")).otherwise(F.col("event_type"))
