@@ -10,7 +10,7 @@ are reported. Passages of a document that touch or overlap are merged.
 
 Suffixes that share first words in over GROUP_ROWS places are dealt over several tasks
 by a hash of the place (of about GROUP_ROWS each). There they are not compared: each gives the passages of
-``min_words`` whose minimiser it is, which are counted by content over all tasks, so that two
+``min_words`` whose minimiser it is, places with equal passages together, which are counted by content over all tasks, so that two
 places with the same passage meet however common their first words are.
 Words are compared as 32-bit hashes (lower case a-z) and passages as 64-bit hashes beside those of their first words.
 
@@ -37,7 +37,7 @@ GRAM = 16
 GROUP_ROWS = 4096
 CHUNK_ROWS = 16_384
 OWN = 1 << 12  # two small numbers in one
-NAMES = ["doc_id", "row", "at", "s", "e", "match_id", "h", "run", "w"]
+NAMES = ["doc_id", "row", "at", "s", "e", "match_id", "h", "run", "p", "w"]
 #: Very common first words that are broadcast at most to be counted apart.
 BROADCAST_HOT = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -120,11 +120,11 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     dealt = known.withColumn("deal", deal).withColumn("hot", F.col("n") > GROUP_ROWS).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
     compared = materialise(
         dealt.select("h", "deal", "hot", "doc_id", "row", "at", "own", "words").mapInArrow(
-            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, row bigint, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, w array<bigint>"
+            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, row bigint, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, p array<struct<doc_id:{id_kind},row:bigint,s:int>>, w array<bigint>"
         )
     )
     found = compared.where("w is null").select("doc_id", "row", "s", "e", "match_id")
-    common = compared.where("w is not null").select("doc_id", "row", "s", "h", "run", "w")
+    common = compared.where("w is not null").select("h", "run", "p", "w")
     if common.limit(1).count():
         found = found.unionByName(_repeated(common, min_words))
     # matched stretches of a document, merged where they touch
@@ -138,19 +138,20 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _repeated(places: DataFrame, min_words: int) -> DataFrame:
-    """Of ``places`` (w: hashes of the passages one after another, run: of all of them) the stretch whose passages stand at other places too.
+    """Of places (p, those of one task together; w: hashes of the passages one after another, run: of all of them) the stretch whose passages stand at other places too.
 
-    Equal runs are counted before their passages are, and each place meets its run once. The other document
+    Equal runs are counted before their passages are, and the places of a task meet their run once. The other document
     is the smallest, or the largest for the smallest itself.
     """
-    runs = places.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("w").alias("w"))
+    runs = places.groupBy("h", "run").agg(F.sum(F.size("p")).alias("n"), F.min(F.array_min("p.doc_id")).alias("low"), F.max(F.array_max("p.doc_id")).alias("high"), F.first("w").alias("w"))
     passages = materialise(runs).select("h", "run", "n", "low", "high", F.posexplode("w").alias("k", "word"))
     counts = passages.groupBy("h", "word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     counts = materialise(counts.where("n > 1").drop("n"))  # then the joins read plain exchanges, whose large keys can be split
     hits = passages.select("h", "run", "k", "word").join(counts, ["h", "word"]).groupBy("h", "run")
     hits = materialise(hits.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")))
     other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
-    return places.drop("w").join(hits, ["h", "run"]).select(
+    met = places.drop("w").join(hits, ["h", "run"]).select("first", "last", "low", "high", F.explode("p").alias("p"))
+    return met.select("p.*", "first", "last", "low", "high").select(
         "doc_id", "row", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("last") + min_words).alias("e"), other.alias("match_id")
     )
 
@@ -182,11 +183,20 @@ def compare(batches, left: int, right: int, min_words: int):
         begin = (table.column("at").to_numpy() - own // OWN).astype(np.int32)
         starts = np.concatenate([[0], np.cumsum(own % OWN)])
         run = mix(np.add.reduceat(mix(w + before.astype(np.uint64)), starts[:-1]) + own.astype(np.uint64))
-        ids = table.column("doc_id").combine_chunks()
+        h = table.column("h").to_numpy()
+        order = np.lexsort((run, h))  # places with one run stand together
+        first = np.flatnonzero(np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (h[order][1:] != h[order][:-1])]))
+        one = order[first]
+        ids = table.column("doc_id").combine_chunks().take(pa.array(order))
+        rows = table.column("row").combine_chunks().take(pa.array(order))
+        own_places = pa.StructArray.from_arrays([ids, rows, pa.array(begin[order])], names=["doc_id", "row", "s"])
+        offsets = np.append(first, len(order)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w.view(np.int64)))
+        none = len(one)
         return pa.RecordBatch.from_arrays(
             [
-                ids, table.column("row").combine_chunks(), table.column("at").combine_chunks(), pa.array(begin), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), ids.type),
-                table.column("h").combine_chunks(), pa.array(run.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(w.view(np.int64))),
+                pa.nulls(none, ids.type), pa.nulls(none, pa.int64()), *[pa.nulls(none, pa.int32())] * 3, pa.nulls(none, ids.type),
+                pa.array(h[one]), pa.array(run[one].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), own_places), lists.take(pa.array(one)),
             ],
             names=NAMES,
         )
@@ -230,7 +240,8 @@ def compare(batches, left: int, right: int, min_words: int):
         yield pa.RecordBatch.from_arrays(
             [
                 ids.take(pa.array(mine)), table.column("row").combine_chunks().take(pa.array(mine)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), distinct.take(pa.array(other)),
-                pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.list_(pa.int64())),
+                pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()),
+                pa.nulls(none, pa.list_(pa.struct([("doc_id", ids.type), ("row", pa.int64()), ("s", pa.int32())]))), pa.nulls(none, pa.list_(pa.int64())),
             ],
             names=NAMES,
         )
