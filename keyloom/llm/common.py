@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import sys
+import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -27,11 +28,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a machine-local one would be lost to the executors, so there is no other."""
+    """The shared folder that the cluster names. Where none is named, a local session (tests) gets a temporary one; a cluster, whose
+    executors could not read that, gets an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
