@@ -342,9 +342,9 @@ def table_set_cell(t):
     return layers.set_cells(cells, new)
 
 
-@query("select i as \"index\", coalesce(v, 0) as value from generate_series(0, (select max(event_id) from events where event_id % 7 = 0)) g(i) left join (select event_id, cast(round(value * 100) as bigint) as v from events where event_id % 7 = 0) on i = event_id")
+@query("select i as \"index\", coalesce(v, 0) as value from generate_series(0, (select max(event_id) from events where event_type = 'error')) g(i) left join (select event_id, cast(round(value * 100) as bigint) as v from events where event_type = 'error') on i = event_id")
 def vector_get_range(t):
-    v = t("events").where("event_id % 7 = 0").select(F.col("event_id").alias("index"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    v = t("events").where("event_type = 'error'").select(F.col("event_id").alias("index"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
     return layers.dense(v, F.max("index") + 1, 0)
 
 
