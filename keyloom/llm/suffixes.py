@@ -36,6 +36,8 @@ MIN_WORDS = 50
 GRAM = 16
 GROUP_ROWS = 4096
 CHUNK_ROWS = 16_384
+#: Places with equal passages that go as one row at most, so that a very common passage is unfolded by many tasks.
+LIST_ROWS = 64
 OWN = 1 << 12  # two small numbers in one
 NAMES = ["doc_id", "row", "at", "s", "e", "match_id", "h", "run", "p", "w"]
 #: Very common first words that are broadcast at most to be counted apart.
@@ -118,9 +120,10 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     known = todo.mapInArrow(around, f"h bigint, n bigint, doc_id {id_kind}, row bigint, at int, own int, words binary")
     deal = F.pmod(F.xxhash64("doc_id", "row", "at"), F.ceil(F.col("n") / GROUP_ROWS).cast("bigint"))
     dealt = known.withColumn("deal", deal).withColumn("hot", F.col("n") > GROUP_ROWS).drop("n").repartition("h", "deal").sortWithinPartitions("h", "deal")
+    most = LIST_ROWS
     compared = materialise(
         dealt.select("h", "deal", "hot", "doc_id", "row", "at", "own", "words").mapInArrow(
-            lambda batches: compare(batches, left, right, min_words), f"doc_id {id_kind}, row bigint, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, p array<struct<doc_id:{id_kind},row:bigint,s:int>>, w array<bigint>"
+            lambda batches: compare(batches, left, right, min_words, most), f"doc_id {id_kind}, row bigint, at int, s int, e int, match_id {id_kind}, h bigint, run bigint, p array<struct<doc_id:{id_kind},row:bigint,s:int>>, w array<bigint>"
         )
     )
     found = compared.where("w is null").select("doc_id", "row", "s", "e", "match_id")
@@ -140,7 +143,8 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 def _repeated(places: DataFrame, min_words: int) -> DataFrame:
     """Of places (p, those of one task together; w: hashes of the passages one after another, run: of all of them) the stretch whose passages stand at other places too.
 
-    Equal runs are counted before their passages are, and the places of a task meet their run once. The other document
+    Equal runs are counted before their passages are; places meet their run in lists of at most LIST_ROWS, which are spread over
+    all tasks before they are unfolded. The other document
     is the smallest, or the largest for the smallest itself.
     """
     runs = places.groupBy("h", "run").agg(F.sum(F.size("p")).alias("n"), F.min(F.array_min("p.doc_id")).alias("low"), F.max(F.array_max("p.doc_id")).alias("high"), F.first("w").alias("w"))
@@ -150,7 +154,8 @@ def _repeated(places: DataFrame, min_words: int) -> DataFrame:
     hits = passages.select("h", "run", "k", "word").join(counts, ["h", "word"]).groupBy("h", "run")
     hits = materialise(hits.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")))
     other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
-    met = places.drop("w").join(hits, ["h", "run"]).select("first", "last", "low", "high", F.explode("p").alias("p"))
+    met = places.drop("w").join(hits, ["h", "run"]).repartition(F.col("p")[0])  # the lists of one run go apart before they are unfolded
+    met = met.select("first", "last", "low", "high", F.explode("p").alias("p"))
     return met.select("p.*", "first", "last", "low", "high").select(
         "doc_id", "row", (F.col("s") + F.col("first")).alias("s"), (F.col("s") + F.col("last") + min_words).alias("e"), other.alias("match_id")
     )
@@ -167,7 +172,7 @@ def windows_of(words: np.ndarray, own: np.ndarray, min_words: int, left: int) ->
     return row, before, mix(sums[row, begin + min_words] - sums[row, begin] + mix(before.astype(np.uint64)))
 
 
-def compare(batches, left: int, right: int, min_words: int):
+def compare(batches, left: int, right: int, min_words: int, list_rows: int):
     """What is repeated in each run of equal (h, deal), the passages of hot runs; the last run of a chunk waits for the next batch."""
     held = []
 
@@ -185,7 +190,9 @@ def compare(batches, left: int, right: int, min_words: int):
         run = mix(np.add.reduceat(mix(w + before.astype(np.uint64)), starts[:-1]) + own.astype(np.uint64))
         h = table.column("h").to_numpy()
         order = np.lexsort((run, h))  # places with one run stand together
-        first = np.flatnonzero(np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (h[order][1:] != h[order][:-1])]))
+        fresh = np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        begun = np.flatnonzero(fresh)
+        first = np.flatnonzero((np.arange(len(order)) - begun[np.cumsum(fresh) - 1]) % list_rows == 0)
         one = order[first]
         ids = table.column("doc_id").combine_chunks().take(pa.array(order))
         rows = table.column("row").combine_chunks().take(pa.array(order))

@@ -237,6 +237,7 @@ def test_suffix_dedup(docs, empty):
 
 def test_suffix_dedup_deals_large_groups(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP_ROWS", 20)
+    monkeypatch.setattr(suffixes, "LIST_ROWS", 3)
     common = " ".join(f"w{i}" for i in range(60))
     rows = [(i, f"{' '.join(f'x{i}y{k}' for k in range(i % 7 + 3))} {common} z{i}") for i in range(40)]
     found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
