@@ -44,6 +44,14 @@ def after(key: Column) -> Column:
     return F.concat(key, F.unhex(F.lit("00")))
 
 
+def key_between(begin: Column, end: Column, limit: int = KEY_LIMIT) -> Column:
+    """The shortest key behind ``begin`` that is not behind ``end``: what both share and one more byte of ``end``; ``end`` itself where ``limit`` bytes are shared."""
+    least = F.least(F.octet_length(begin), F.octet_length(end), F.lit(limit))
+    lengths = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
+    shared = F.size(F.filter(lengths, lambda n: F.substr(begin, F.lit(1), n) == F.substr(end, F.lit(1), n)))
+    return F.when(shared < limit, F.substr(end, F.lit(1), shared + 1)).otherwise(end)
+
+
 def reversed_hex(value: Column) -> Column:
     """Hexadecimal digits of the bytes in reverse order (``reverse`` reads binary as text)."""
     pairs = F.transform(F.sequence(F.octet_length(value), F.lit(1), F.lit(-1)), lambda i: F.hex(F.substr(value, i, F.lit(1))))

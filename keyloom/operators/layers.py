@@ -49,6 +49,36 @@ def set_discard(a: DataFrame, *values) -> DataFrame:
     return a.where(~F.col(a.columns[0]).isin(*values))
 
 
+def set_contains(a: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked elements with ``contains``: whether each is in the set."""
+    x = a.columns
+    marked = a.distinct().select(*[F.col(c).alias(f"_{c}") for c in x], F.lit(True).alias("_in"))
+    on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in x])
+    return asked.join(marked, on, "left").select(*asked.columns, F.col("_in").isNotNull().alias("contains"))
+
+
+def set_pop(a: DataFrame, by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The least element of each set and what is left of the sets. The last column holds the elements."""
+    x = a.columns[-1]
+    least = a.groupBy(*by).agg(F.min(x).alias(x)) if by else a.agg(F.min(x).alias(x)).where(F.col(x).isNotNull())
+    return least, a.join(least, [*by, x], "left_anti")
+
+
+# ---- bags: elements count as often as they stand ----------------------------------
+
+
+def bag_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionAll(b)
+
+
+def bag_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersectAll(b)
+
+
+def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.exceptAll(b)
+
+
 # ---- queues ---------------------------------------------------------------------
 
 
@@ -110,6 +140,33 @@ def resize(vector: DataFrame, size: int) -> DataFrame:
     return vector.where(F.col("index") < size)
 
 
+def _sizes(vector: DataFrame, by: list[str]) -> DataFrame:
+    size = (F.max("index") + 1).cast("bigint").alias("_size")
+    return vector.groupBy(*by).agg(size) if by else vector.agg(size).where("_size is not null")
+
+
+def element_at(vector: DataFrame, i: int, default, by: list[str] = ()) -> DataFrame:
+    """Slot ``i`` of each vector, from the end where it is negative (0 is the front, -1 the back); vectors without that slot have no row."""
+    at = _sizes(vector, by).withColumn("index", F.lit(i).cast("bigint") if i >= 0 else F.col("_size") + i).where("index >= 0 and index < _size").drop("_size")
+    joined = at.join(vector.select(*by, F.col("index").cast("bigint").alias("index"), "value"), [*by, "index"], "left")
+    return joined.withColumn("value", F.coalesce("value", F.lit(default)))
+
+
+def push(vector: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """Vectors with one value each (by, value) behind their last slot; a vector that does not exist begins at 0."""
+    new = values.select(*by, "value").join(_sizes(vector, by), list(by), "left").select(*by, F.coalesce("_size", F.lit(0)).cast("bigint").alias("index"), "value")
+    return vector.select(*by, F.col("index").cast("bigint").alias("index"), "value").unionByName(new)
+
+
+def pop(vector: DataFrame, default, by: list[str] = ()) -> DataFrame:
+    """Vectors without their last slot; an empty slot before it is written out, so that the size falls by one."""
+    own = vector.select(*by, F.col("index").cast("bigint").alias("index"), "value")
+    sizes = _sizes(own, by)
+    kept = own.join(sizes.select(*by, (F.col("_size") - 1).alias("index")), [*by, "index"], "left_anti")
+    ends = sizes.where("_size > 1").select(*by, (F.col("_size") - 2).alias("index"))
+    return kept.unionByName(ends.join(own, [*by, "index"], "left_anti").withColumn("value", F.lit(default)))
+
+
 # ---- graphs, multimaps -----------------------------------------------------------
 
 
@@ -224,6 +281,11 @@ def merged_column(packed: DataFrame, unpacked: DataFrame) -> DataFrame:
     return both.groupBy("row").agg(F.max_by("value", "fresh").alias("value"))
 
 
+def delete_rows(packed: DataFrame, unpacked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, value) of a column after rows are deleted from its blocks and its single rows."""
+    return merged_column(packed, unpacked).join(rows.select("row").distinct(), "row", "left_anti")
+
+
 def pack_column(rows: DataFrame, per_block: int) -> DataFrame:
     """Blocks of about ``per_block`` neighbouring rows."""
     from keyloom.operators.scans import segments
@@ -342,6 +404,27 @@ class Directory:
         return Directory(self.nodes.where(~self._under(path)))
 
 
+def publish(tree: Directory, contents: DataFrame, path, rows: DataFrame) -> tuple[Directory, DataFrame]:
+    """Rows written to a new directory that then stands in for the one at ``path``: readers through the path see the old rows or the new.
+
+    ``contents`` holds (prefix, key, value) of all directories, ``rows`` the (key, value) of the new one. What stood at the path goes.
+    """
+    beside = [*path[:-1], f"{path[-1]}_new"]
+    tree = tree.create(beside)
+    prefix = tree.open(beside).first()["prefix"]
+    contents = contents.unionByName(rows.select(F.lit(prefix).cast("bigint").alias("prefix"), "key", "value"))
+    if tree.exists(path):
+        gone = tree.nodes.where(tree._under(path)).select("prefix")
+        contents = contents.join(gone, "prefix", "left_anti")
+        tree = tree.remove(path)
+    return tree.move(beside, path), contents
+
+
+def read_through(tree: Directory, contents: DataFrame, path) -> DataFrame:
+    """(key, value) of the directory that a path names now."""
+    return contents.where(F.col("prefix") == tree.open(path).first()["prefix"]).select("key", "value")
+
+
 def allocate(df: DataFrame, out: str = "prefix", taken: int = -1) -> DataFrame:
     """Rows with prefixes that are unique and above ``taken``; no order among rows is needed, so there is no shuffle."""
     return df.withColumn(out, F.monotonically_increasing_id() + F.lit(taken + 1))

@@ -80,9 +80,14 @@ def once(commits: DataFrame, identity: list[str], order: list[str]) -> DataFrame
 
 
 def history_conflicts(reads: DataFrame, writes: DataFrame, width: int | None = None) -> DataFrame:
-    """Read ranges (txn, begin, end, snapshot) that a committed write (begin, end, version) after their snapshot touches: a range join."""
+    """Read ranges (txn, begin, end, snapshot) that a committed write (begin, end, version) after their snapshot touches: a range join.
+
+    Where reads have ``upto``, only writes of earlier versions count.
+    """
     w = writes.select(F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("version").alias("_v"))
     hit = (F.col("begin") < F.col("_e")) & (F.col("_b") < F.col("end")) & (F.col("_v") > F.col("snapshot"))
+    if "upto" in reads.columns:
+        hit = hit & (F.col("_v") < F.col("upto"))
     r = reads
     if width:
         cells = lambda b, e: F.explode(F.sequence(F.floor(F.col(b) / width), F.floor((F.col(e) - 1) / width)))
@@ -124,8 +129,9 @@ def resolve_batch(rows: list[tuple], oldest: int) -> list[tuple]:
     return out
 
 
-def detect_conflicts(txns: DataFrame, history: DataFrame | None = None, oldest: int = 0, width: int | None = None) -> DataFrame:
+def detect_conflicts(txns: DataFrame, history: DataFrame | None = None, oldest: int = 0, width: int | None = None, before: Column | None = None) -> DataFrame:
     """batch, txn, status and the conflicting range. ``txns``: batch, txn, snapshot, reads and writes (arrays of struct begin, end).
+    History of versions from ``before`` on does not count (that of the batch itself, where history holds it).
 
     Committed history is checked by a parallel join; inside a batch, order decides, so that the rows of a batch (bounded
     by the commit pipeline) are read in order by one task, which holds one batch at a time.
@@ -134,7 +140,9 @@ def detect_conflicts(txns: DataFrame, history: DataFrame | None = None, oldest:
     if history is None:
         rows = rows.withColumn("hit", F.lit(None).cast("struct<begin:bigint,end:bigint>"))
     else:
-        reads = rows.select("txn", "snapshot", F.explode("reads").alias("r")).select("txn", "snapshot", "r.begin", "r.end")
+        upto = [] if before is None else [before.alias("upto")]
+        reads = rows.select("txn", "snapshot", *upto, F.explode("reads").alias("r"))
+        reads = reads.select("txn", "snapshot", *(["upto"] if upto else []), "r.begin", "r.end")
         hits = history_conflicts(reads, history, width).groupBy("txn").agg(F.min(F.struct("begin", "end")).alias("hit"))
         rows = rows.join(hits, "txn", "left")
     kind = txns.select(F.col("reads")[0]["begin"].alias("k")).schema[0]

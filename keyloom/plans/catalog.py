@@ -1,8 +1,8 @@
 """All registered queries and oracles of this library."""
 
-from keyloom.plans import reads, registry, shapes, writes
+from keyloom.plans import files, reads, registry, shapes, writes
 
-_loaded = (reads, shapes, writes)
+_loaded = (files, reads, shapes, writes)
 
 
 def queries():

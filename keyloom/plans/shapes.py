@@ -285,6 +285,39 @@ def set_update(t):
     return layers.set_add(layers.set_discard(_a(t), 4, 7), 2, 3)
 
 
+@query(f"select c_custkey as x, c_custkey in (select x from {A}) as contains from customer")
+def set_contains(t):
+    return layers.set_contains(_a(t), t("customer").select(F.col("c_custkey").alias("x")))
+
+
+@query("select o_custkey, o_orderkey from (select distinct o_custkey, o_orderkey from orders) qualify row_number() over (partition by o_custkey order by o_orderkey) > 1")
+def set_pop(t):
+    return layers.set_pop(t("orders").select("o_custkey", "o_orderkey").distinct(), ["o_custkey"])[1]
+
+
+BAG_A = "(select c_nationkey as x from customer)"
+BAG_B = "(select s_nationkey as x from supplier)"
+
+
+def _bags(t):
+    return t("customer").select(F.col("c_nationkey").alias("x")), t("supplier").select(F.col("s_nationkey").alias("x"))
+
+
+@query(f"select x from {BAG_A} union all select x from {BAG_B}")
+def bag_union(t):
+    return layers.bag_union(*_bags(t))
+
+
+@query(f"select x from {BAG_A} intersect all select x from {BAG_B}")
+def bag_intersection(t):
+    return layers.bag_intersection(*_bags(t))
+
+
+@query(f"select x from {BAG_A} except all select x from {BAG_B}")
+def bag_difference(t):
+    return layers.bag_difference(*_bags(t))
+
+
 @query("select n_nationkey, n_name from nation order by n_name limit 5")
 def sort(t):
     return t("nation").select("n_nationkey", "n_name").orderBy("n_name").limit(5)
@@ -354,6 +387,40 @@ def vector_swap_resize(t):
     return layers.resize(layers.swap(v, 7, 14), 2000).select(F.col("index").cast("bigint").alias("index"), "value")
 
 
+ROOMS = "(select user_id, event_id // 50 as \"index\", max(event_id) as value from events group by 1, 2)"
+
+
+def _rooms(t):
+    """A sparse vector for each user."""
+    e = t("events").select("user_id", F.floor(F.col("event_id") / 50).alias("index"), "event_id")
+    return e.groupBy("user_id", "index").agg(F.max("event_id").alias("value"))
+
+
+@query(
+    f"with v as {ROOMS}, s as (select user_id, max(\"index\") + 1 as n from v group by 1), w as (select user_id, n, unnest([0, n - 1, n - 3]) as \"index\", unnest(['front', 'back', 'third']) as place from s) "
+    "select w.user_id, place, coalesce(v.value, -1) as value from w left join v on v.user_id = w.user_id and v.\"index\" = w.\"index\" where w.\"index\" >= 0"
+)
+def vector_ends(t):
+    v = _rooms(t)
+    places = {"front": 0, "back": -1, "third": -3}
+    got = [layers.element_at(v, i, -1, ["user_id"]).select("user_id", F.lit(name).alias("place"), "value") for name, i in places.items()]
+    return got[0].unionByName(got[1]).unionByName(got[2])
+
+
+@query(f"with v as {ROOMS} select user_id, \"index\", value from v union all select user_id, max(\"index\") + 1, count(*) from v group by 1")
+def vector_push(t):
+    v = _rooms(t)
+    return layers.push(v, v.groupBy("user_id").agg(F.count(F.lit(1)).alias("value")), ["user_id"])
+
+
+@query(
+    f"with v as {ROOMS}, s as (select user_id, max(\"index\") as m from v group by 1) select v.* from v join s using (user_id) where \"index\" < m "
+    "union all select user_id, m - 1, -1 from s where m > 0 and not exists (select 1 from v where v.user_id = s.user_id and v.\"index\" = s.m - 1)"
+)
+def vector_pop(t):
+    return layers.pop(_rooms(t), -1, ["user_id"])
+
+
 @query("select event_id as \"index\", user_id as value from events where event_id in (3, 5, 70)")
 def array_get(t):
     return t("events").where(F.col("event_id").isin(3, 5, 70)).select(F.col("event_id").alias("index"), F.col("user_id").alias("value"))
@@ -388,8 +455,12 @@ def blob_read(t):
 
 @query("select 'current' as pointer, count(*) as pairs from customer where c_acctbal > 0")
 def indirection_workspace(t):
-    workspace = t("customer").where("c_acctbal > 0")
-    return workspace.agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("current").alias("pointer"), "pairs")
+    pairs = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    tree = layers.Directory.empty(pairs.sparkSession).create(["app", "current"])
+    prefix = tree.open(["app", "current"]).first()["prefix"]
+    old = pairs.select(F.lit(prefix).cast("bigint").alias("prefix"), "key", "value")
+    tree, contents = layers.publish(tree, old, ["app", "current"], pairs.where("value > 0"))
+    return layers.read_through(tree, contents, ["app", "current"]).agg(F.count(F.lit(1)).alias("pairs")).select(F.lit("current").alias("pointer"), "pairs")
 
 
 @query("select p_partkey from part where p_size between 5 and 20 and cast(floor(p_retailprice) as int) between 950 and 1400")
@@ -406,6 +477,13 @@ def compressed_column(t):
     return layers.merged_column(layers.pack_column(rows, 64), fresh)
 
 
+@query("select o_orderkey as row, case when o_orderkey % 9 = 0 then 'new' else o_orderstatus end as value from orders where o_orderkey % 12 <> 0")
+def compressed_column_delete(t):
+    rows = t("orders").select(F.col("o_orderkey").alias("row"), F.col("o_orderstatus").alias("value"))
+    fresh = rows.where("row % 9 = 0").withColumn("value", F.lit("new"))
+    return layers.delete_rows(layers.pack_column(rows, 64), fresh, rows.where("row % 12 = 0"))
+
+
 @query("select user_id as inbox, event_id as message, rank from (select s.user_id, m.event_id, row_number() over (partition by s.user_id order by m.event_id desc) as rank from (select distinct user_id, event_type from events where event_type = 'signup') s join events m on m.event_type = s.event_type) where rank <= 10")
 def pubsub_inbox(t):
     e = t("events")
@@ -429,6 +507,15 @@ def directory_list(t):
     return tree.list(["world", "new"])
 
 
+@query("select '/world/' || n_regionkey || '/' || n_name as path from nation where n_regionkey <> 2 union all select '/world/' || r_regionkey from region where r_regionkey <> 2 union all select unnest(['/world', '/other', '/other/depth', '/other/depth/leaf'])")
+def directory_tree(t):
+    regions = t("region").select(F.array(F.lit("world"), F.col("r_regionkey").cast("string")).alias("path"), F.col("r_regionkey").cast("bigint").alias("prefix"))
+    nations = t("nation").select(F.array(F.lit("world"), F.col("n_regionkey").cast("string"), F.col("n_name")).alias("path"), (F.col("n_nationkey") + 100).cast("bigint").alias("prefix"))
+    nodes = regions.union(nations).select("path", "prefix", F.lit("").alias("layer"), F.lit(False).alias("is_partition"))
+    tree = layers.Directory(nodes).create_or_open(["world"]).create(["other", "depth", "leaf"]).remove(["world", "2"]).remove_if_exists(["nowhere"])
+    return tree.nodes.select(F.concat(F.lit("/"), F.array_join("path", "/")).alias("path"))
+
+
 @query("select count(*) as n, count(distinct c_custkey) as prefixes from customer")
 def hca_allocate(t):
     got = layers.allocate(t("customer").select("c_custkey"))

@@ -108,6 +108,30 @@ def counter_by_time(t):
     return e.withColumns(at).groupBy("event_type", "m", "d", "h").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select event_type, user_id % 10 as bucket, count(*) as n, count(distinct user_id) as users, cast(grouping(event_type) * 2 + grouping(user_id % 10) as bigint) as level from events group by cube(event_type, user_id % 10) having count(*) > 5")
+def counter_cube(t):
+    e = t("events").withColumn("bucket", F.col("user_id") % 10)
+    cube = e.cube("event_type", "bucket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.grouping_id().cast("bigint").alias("level"))
+    return cube.where("n > 5")
+
+
+@query("select event_type, user_id % 10 as bucket, count(*) as n from events group by grouping sets ((event_type, user_id % 10), (user_id % 10), ())")
+def counter_grouping_sets(t):
+    e = t("events").withColumn("bucket", F.col("user_id") % 10)
+    sets = [[F.col("event_type"), F.col("bucket")], [F.col("bucket")], []]
+    return e.groupingSets(sets, "event_type", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, count(distinct event_id) as exact, true as near, true as merged_near from events group by 1")
+def approx_count_distinct(t):
+    e = t("events").withColumn("part", F.col("event_id") % 7)
+    whole = e.groupBy("event_type").agg(F.countDistinct("event_id").alias("exact"), F.approx_count_distinct("event_id", 0.01).alias("about"))
+    sketches = e.groupBy("event_type", "part").agg(F.hll_sketch_agg("event_id", 14).alias("s"))  # kept, and merged later
+    merged = sketches.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("merged"))
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= F.col("exact") * 0.05
+    return whole.join(merged, "event_type").select("event_type", "exact", near("about").alias("near"), near("merged").alias("merged_near"))
+
+
 @query("select event_type, month(ts) as m, day(ts) as d, count(*) as n from events group by rollup(event_type, month(ts), day(ts))")
 def counter_rollup(t):
     e = t("events").withColumns({"m": F.month("ts").cast("bigint"), "d": F.dayofmonth("ts").cast("bigint")})
@@ -217,6 +241,20 @@ def conflicting_keys(t):
     return r.join(w, hit).groupBy("txn", "begin", "end").agg(F.max("_v").alias("version"))
 
 
+@query(
+    "with r as (select event_id as txn, event_id // 50 as batch, event_id // 50 * 50 - 120 as snapshot, user_id as b from events), "
+    "h as (select distinct r.txn from r join events w on w.event_type = 'purchase' and r.b >= w.user_id and r.b < w.user_id + 3 and w.event_id > r.snapshot and w.event_id < r.batch * 50) "
+    "select r.batch, r.txn, case when r.snapshot < 300 then 'too_old' when h.txn is not null then 'conflict' else 'committed' end as status, "
+    "case when r.snapshot >= 300 and h.txn is not null then r.b end as \"begin\" from r left join h on h.txn = r.txn"
+)
+def conflict_detect_history(t):
+    """Reads meet committed writes in cells of keys and batches; no transaction of a batch writes what another reads."""
+    tx = _transactions(t).withColumn("writes", F.array().cast("array<struct<begin:bigint,end:bigint>>"))
+    history = t("events").where("event_type = 'purchase'").select(F.col("user_id").alias("begin"), (F.col("user_id") + 3).alias("end"), F.col("event_id").alias("version"))
+    got = versions.detect_conflicts(tx, history, oldest=300, width=8, before=F.col("batch") * 50)
+    return got.select("batch", "txn", "status", "begin")
+
+
 UNION = (
     "with r as (select user_id, \"begin\", max(\"end\") as \"end\" from {spans} group by 1, 2), "
     "m as (select *, max(\"end\") over (partition by user_id order by \"begin\" rows between unbounded preceding and 1 preceding) as reach from r), "

@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File versions and the numbers of mutation types.
@@ -90,31 +90,66 @@ def decode_log(data: bytes) -> list[tuple[int, int, int, bytes, bytes]]:
     return out
 
 
-def _blocks(spark: SparkSession, path: str, block: int) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+def range_files(kv: DataFrame, part: str, block: int) -> DataFrame:
+    """(path, content): the binary pairs of each ``part`` (a bounded key range) as one range file."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted((bytes(k), bytes(v)) for k, v in zip(pdf["key"], pdf["value"], strict=True))
+        return pd.DataFrame({"path": [str(pdf[part].iloc[0])], "content": [encode_range(pairs, pairs[0][0], pairs[-1][0] + b"\x00", block)]})
+
+    return kv.select(part, "key", "value").groupBy(part).applyInPandas(run, "path string, content binary")
+
+
+def log_files(log: DataFrame, part: str, block: int) -> DataFrame:
+    """(path, content): the mutations (version, sub, type, param1, param2) of each ``part`` (bounded in versions) as one log file."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((int(v), int(s), int(t), bytes(a), bytes(b)) for v, s, t, a, b in zip(*(pdf[c] for c in ("version", "sub", "type", "param1", "param2")), strict=True))
+        return pd.DataFrame({"path": [str(pdf[part].iloc[0])], "content": [encode_log(rows, block)]})
+
+    return log.select(part, "version", "sub", "type", "param1", "param2").groupBy(part).applyInPandas(run, "path string, content binary")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of stored files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _blocks(files: DataFrame, block: int) -> DataFrame:
+    files = files.where(F.length("content") > 0)
     rows = files.select("path", "content", F.explode(F.sequence(F.lit(0), F.length("content") - 1, F.lit(block))).alias("offset"))
     return rows.select("path", "offset", F.substr("content", F.col("offset") + 1, F.lit(block)).alias("data"))
 
 
 def read_range(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """(key, value, path) of range files; blocks are decoded in parallel."""
+    """(key, value, path) of stored range files."""
+    return range_pairs(files(spark, path), block)
+
+
+def range_pairs(files: DataFrame, block: int) -> DataFrame:
+    """(key, value, path) of range files (path, content); blocks are decoded in parallel."""
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             yield pd.DataFrame([(k, v, p) for d, p in zip(pdf["data"], pdf["path"], strict=True) for k, v in decode_range(bytes(d))[1]], columns=["key", "value", "path"])
 
-    return _blocks(spark, path, block).mapInPandas(run, "key binary, value binary, path string")
+    return _blocks(files, block).mapInPandas(run, "key binary, value binary, path string")
 
 
 def read_log(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """(version, sub, type, param1, param2, path) of log files."""
+    """(version, sub, type, param1, param2, path) of stored log files."""
+    return log_rows(files(spark, path), block)
+
+
+def log_rows(files: DataFrame, block: int) -> DataFrame:
+    """(version, sub, type, param1, param2, path) of log files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             rows = [(*m, p) for d, p in zip(pdf["data"], pdf["path"], strict=True) for m in decode_log(bytes(d))]
             yield pd.DataFrame(rows, columns=["version", "sub", "type", "param1", "param2", "path"])
 
-    return _blocks(spark, path, block).mapInPandas(run, "version bigint, sub int, type int, param1 binary, param2 binary, path string")
+    return _blocks(files, block).mapInPandas(run, "version bigint, sub int, type int, param1 binary, param2 binary, path string")
 
 
 def convert_logs(log: DataFrame) -> DataFrame:
@@ -123,13 +158,21 @@ def convert_logs(log: DataFrame) -> DataFrame:
     return parts.withColumn("continuous", F.col("mutations")[F.size("mutations") - 1]["sub"] - F.col("mutations")[0]["sub"] == F.size("mutations") - 1)
 
 
-def decode_filter(log: DataFrame, prefix: str | bytes, begin_version: int | None = None, end_version: int | None = None) -> DataFrame:
-    """Mutations of a version window that touch keys of a prefix: single keys by the prefix, cleared ranges by overlap."""
+def matches(prefixes: list[str] | list[bytes]) -> Column:
+    """Whether a mutation touches keys of any prefix: single keys by the prefix, cleared ranges by overlap."""
     from keyloom.functions.keys import next_prefix
 
-    end = next_prefix(prefix) if isinstance(prefix, bytes) else prefix[:-1] + chr(ord(prefix[-1]) + 1)
-    single = (F.col("type") != CLEAR_RANGE) & (F.col("param1") >= F.lit(prefix)) & (F.col("param1") < F.lit(end))
-    ranged = (F.col("type") == CLEAR_RANGE) & (F.col("param1") < F.lit(end)) & (F.col("param2") > F.lit(prefix))
-    rows = log.where(single | ranged)
+    out = F.lit(False)
+    for prefix in prefixes:
+        end = next_prefix(prefix) if isinstance(prefix, bytes) else prefix[:-1] + chr(ord(prefix[-1]) + 1)
+        single = (F.col("type") != CLEAR_RANGE) & (F.col("param1") >= F.lit(prefix)) & (F.col("param1") < F.lit(end))
+        ranged = (F.col("type") == CLEAR_RANGE) & (F.col("param1") < F.lit(end)) & (F.col("param2") > F.lit(prefix))
+        out = out | single | ranged
+    return out
+
+
+def decode_filter(log: DataFrame, prefix: str | bytes, begin_version: int | None = None, end_version: int | None = None) -> DataFrame:
+    """Mutations of a version window that touch keys of a prefix."""
+    rows = log.where(matches([prefix]))
     rows = rows if begin_version is None else rows.where(F.col("version") >= begin_version)
     return rows if end_version is None else rows.where(F.col("version") < end_version)

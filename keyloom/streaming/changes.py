@@ -102,6 +102,28 @@ def apply_changes(batch: DataFrame, target: str, applied: str) -> None:
     fresh.agg(F.max(F.struct("version", "seq")).alias("m")).where("m is not null").select("m.version", "m.seq").write.mode("append").parquet(applied)
 
 
+def replicate(stream: DataFrame, begin, end, target: str, applied: str, checkpoint: str) -> None:
+    """Copies the mutations of a range that have come so far to ``target``; called again it goes on behind the last one."""
+    consume(stream, begin, end, lambda df, i: apply_changes(df, target, applied), checkpoint).awaitTermination()
+
+
+def acknowledge(acks: DataFrame, path: str) -> None:
+    """Appends (name, version) to the table of acknowledgements, which outlives the reader that wrote them."""
+    acks.select("name", F.col("version").cast("bigint").alias("version")).write.mode("append").parquet(path)
+
+
+def acknowledged(spark: SparkSession, path: str) -> DataFrame:
+    """(name, min_version): what is no longer kept for each stream."""
+    return spark.read.parquet(path).groupBy("name").agg(F.max("version").alias("min_version"))
+
+
+def resume(cursors: DataFrame, kept: DataFrame) -> DataFrame:
+    """Cursors (name, cursor) with ``status`` (ok, or too_old where the stream keeps later versions only) and the ``first_version`` to read."""
+    ok = F.col("cursor") >= F.coalesce("min_version", F.lit(0))
+    joined = cursors.join(kept, "name", "left").withColumn("status", F.when(ok, "ok").otherwise("too_old"))
+    return joined.withColumn("first_version", F.when(ok, F.col("cursor") + 1)).drop("min_version")
+
+
 def pack_replies(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
     """Versions packed into replies of at most ``limit`` bytes; a version is never split, a larger one is alone."""
     out: list[list[int]] = []
