@@ -53,16 +53,35 @@ def to_ranges(transitions: DataFrame, begin: Column | None = None, end: Column |
 def paint(writes: DataFrame, version: str, by: list[str] = ()) -> DataFrame:
     """The map after writes (begin, end, value) in the order of ``version``: elementary ranges with the last write over each.
 
-    Borders of a map are swept in order; each elementary range joins the writes that cover it.
+    Ranges are cut into aligned blocks of 1, 2, 4, ... places (two of each length at most), of which each keeps its last write. An
+    elementary range meets the one block of each length that holds it, so that the work is linear in writes and borders but for
+    the number of lengths. Places are the keys where they are integers, else numbers of the borders of a map.
     """
     borders = writes.select(*by, F.col("begin").alias("key")).union(writes.select(*by, F.col("end"))).distinct()
-    until = F.lead("key").over(Window.partitionBy(*by).orderBy("key"))
-    cells = borders.withColumn("to", until).where("to is not null")
-    w = writes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("begin").alias("_begin"), F.col("end").alias("_end"), F.col("value").alias("_value"), F.col(version).alias("_version"))
-    on = (F.col("_begin") <= F.col("key")) & (F.col("to") <= F.col("_end"))
-    for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return cells.join(w, on).groupBy(*by, F.col("key").alias("begin"), F.col("to").alias("end")).agg(F.max_by("_value", "_version").alias("value"))
+    order = Window.partitionBy(*by).orderBy("key")
+    cells = borders.withColumn("to", F.lead("key").over(order))
+    w = writes.where("begin < end").select(*by, "begin", "end", "value", F.col(version).alias("_version"))
+    if writes.schema["begin"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        cells = cells.withColumn("_at", F.col("key").cast("bigint"))
+        w = w.withColumns({"_low": F.col("begin").cast("bigint"), "_high": F.col("end").cast("bigint")})
+    else:
+        cells = cells.withColumn("_at", F.row_number().over(order).cast("bigint"))
+        for side, place in (("begin", "_low"), ("end", "_high")):
+            w = w.join(cells.select(*by, F.col("key").alias(side), F.col("_at").alias(place)), [*by, side])
+    longest = w.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 1
+    levels = f"sequence(0, {longest.bit_length() - 1})"
+    low, high = "-shiftright(-_low, l)", "shiftright(_high, l)"
+    inside = f"{low} < {high}"
+    blocks = F.expr(
+        f"filter(flatten(transform({levels}, l -> array("
+        f"if({inside} and {low} & 1 = 1, named_struct('level', l, 'block', {low}), null), "
+        f"if({inside} and {high} & 1 = 1, named_struct('level', l, 'block', {high} - 1), null)))), x -> x is not null)"
+    )
+    last = w.select(*by, F.struct("_version", "value").alias("_w"), F.explode(blocks).alias("_b")).select(*by, "_w", "_b.level", "_b.block")
+    last = last.groupBy(*by, "level", "block").agg(F.max_by("_w", "_w._version").alias("_w"))
+    around = cells.where("to is not null").withColumn("_b", F.explode(F.expr(f"transform({levels}, l -> named_struct('level', l, 'block', shiftright(_at, l)))")))
+    met = around.select(*by, "key", "to", "_b.level", "_b.block").join(last, [*by, "level", "block"])
+    return met.groupBy(*by, F.col("key").alias("begin"), F.col("to").alias("end")).agg(F.max_by("_w.value", "_w._version").alias("value"))
 
 
 def set_range(transitions: DataFrame, begin, end, value, by: list[str] = ()) -> DataFrame:

@@ -314,10 +314,10 @@ def global_config(t):
     return folds.last_writer(event_log(t), ["key"], ["version"], "value", F.col("kind") == "clear")
 
 
-@query(f"select r.user_id as owner, r.\"begin\", r.\"end\", s.address as lock_owner from {USER_SPANS} r join {SHARD_MAP} s on r.\"begin\" < s.\"end\" and s.\"begin\" < r.\"end\" where r.user_id = 9")
+@query(f"select r.user_id as owner, r.\"begin\", r.\"end\", s.address as lock_owner from {USER_SPANS} r join {SHARD_MAP} s on r.\"begin\" < s.\"end\" and s.\"begin\" < r.\"end\"")
 def range_lock(t):
     locks = shard_map(t).withColumnRenamed("address", "owner")
-    asked = user_spans(t).where("user_id = 9").withColumn("owner", F.col("user_id").cast("string"))
+    asked = user_spans(t).withColumn("owner", F.col("user_id").cast("string"))
     return versions.lock_conflicts(asked, locks).select(F.col("user_id").alias("owner"), "begin", "end", "lock_owner")
 
 
@@ -366,14 +366,13 @@ def krm_get_ranges_unaligned(t):
 
 
 @query(
-    f"with w as (select user_id, \"begin\", \"end\", event_type as value, event_id as version from {USER_SPANS} join (select event_id, event_type from events) on event_id = \"begin\" where event_id < 1500), "
+    f"with w as (select user_id, \"begin\", \"end\", event_type as value, event_id as version from {USER_SPANS} join (select event_id, event_type from events) on event_id = \"begin\"), "
     "k as (select distinct user_id, key from (select user_id, \"begin\" as key from w union all select user_id, \"end\" from w)), "
     "c as (select user_id, key, lead(key) over (partition by user_id order by key) as upto from k) "
     "select c.user_id, key as \"begin\", upto as \"end\", arg_max(value, version) as value from c join w on c.user_id = w.user_id and w.\"begin\" <= key and upto <= w.\"end\" where upto is not null group by 1, 2, 3"
 )
 def krm_paint(t):
-    e = t("events").where("event_id < 1500")
-    writes = e.select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + F.ceil("value")).cast("bigint").alias("end"), F.col("event_type").alias("value"), F.col("event_id").alias("version"))
+    writes = t("events").select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + F.ceil("value")).cast("bigint").alias("end"), F.col("event_type").alias("value"), F.col("event_id").alias("version"))
     return intervals.paint(writes, "version", ["user_id"])
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.functions import keys
 from keyloom.functions.buckets import interleave, log2_bucket, unlace
 from keyloom.functions.keys import from_little_endian, little_endian, strinc
 from keyloom.functions.tuples import pack, packed_bytes, packed_double, packed_long, packed_string
@@ -95,6 +96,40 @@ def test_painted_ranges_match_cells(spark):
     df = spark.createDataFrame(writes, "begin int, end int, value string, version int")
     got = {k: r["value"] for r in intervals.paint(df, "version").collect() for k in range(r["begin"], r["end"])}
     assert got == cells
+    named = df.select(F.format_string("k%02d", "begin").alias("begin"), F.format_string("k%02d", "end").alias("end"), "value", "version")
+    got = {k: r["value"] for r in intervals.paint(named, "version").collect() for k in range(int(r["begin"][1:]), int(r["end"][1:]))}
+    assert got == cells
+    assert intervals.paint(df.limit(0), "version").count() == 0
+    below = df.select((F.col("begin") - 25).alias("begin"), (F.col("end") - 25).alias("end"), "value", "version")
+    got = {k + 25: r["value"] for r in intervals.paint(below, "version").collect() for k in range(r["begin"], r["end"])}
+    assert got == cells
+
+
+def test_shortest_keys_between(spark):
+    pairs = [(b"a", b"b"), (b"ab", b"abc"), (b"abc", b"abd"), (b"", b"xyz"), (b"a\xff", b"b\x00\x01"), (b"ab", b"ab")]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "a binary, b binary")
+    got = [bytes(r[0]) for r in df.select(keys.key_between(F.col("a"), F.col("b"))).collect()]
+    assert got == [b"b", b"abc", b"abd", b"x", b"b", b"ab"]
+    assert bytes(df.limit(1).select(keys.key_between(F.lit(b"abc1"), F.lit(b"abc2x"), limit=3)).first()[0]) == b"abc2x"
+
+
+def test_vector_ends(spark):
+    v = spark.createDataFrame([(0, "a"), (4, "e")], "index int, value string")
+    assert [tuple(r) for r in layers.element_at(v, -2, "-").collect()] == [(3, "-")]
+    assert layers.element_at(v, -6, "-").count() == layers.element_at(v, 5, "-").count() == 0
+    once = layers.pop(v, "-")
+    assert sorted(tuple(r) for r in once.collect()) == [(0, "a"), (3, "-")]
+    assert sorted(tuple(r) for r in layers.pop(once, "-").collect()) == [(0, "a"), (2, "-")]
+    assert layers.pop(v.limit(0), "-").count() == 0
+
+
+def test_sets_and_bags(spark):
+    df = lambda *x: spark.createDataFrame([(v,) for v in x], "x int")
+    assert sorted(tuple(r) for r in layers.set_contains(df(1, 1, None), df(1, 2, None)).collect() if r["x"] is not None) == [(1, True), (2, False)]
+    least, rest = layers.set_pop(df(5, 3, 4))
+    assert [r[0] for r in least.collect()] == [3] and sorted(r[0] for r in rest.collect()) == [4, 5]
+    assert layers.set_pop(df(5).limit(0))[0].count() == 0
+    assert sorted(r[0] for r in layers.bag_difference(df(1, 1, 2), df(1)).collect()) == [1, 2]
 
 
 def test_overlaps_in_cells_match_all_pairs(spark):
