@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.ordered import previous
+
 
 def union_of(ranges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Merged ranges: those that overlap or touch become one."""
@@ -132,5 +134,5 @@ def same_maps(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = a.select("key").union(b.select("key")).distinct()
     both = contains(keys, a).select("key", F.col("value").alias("a"))
     both = contains(both, b).select("key", "a", F.col("value").alias("b"))
-    until = F.lead("key").over(Window.orderBy("key"))
-    return both.withColumn("end", until).where("not (a <=> b) and end is not null").select(F.col("key").alias("begin"), "end", "a", "b")
+    ranges = previous(both, "key", {"key": "begin", "a": "left", "b": "right"})  # a range ends at the next key
+    return ranges.where("begin is not null and not (left <=> right)").select("begin", F.col("key").alias("end"), F.col("left").alias("a"), F.col("right").alias("b"))
