@@ -71,17 +71,16 @@ def paint(writes: DataFrame, version: str, by: list[str] = ()) -> DataFrame:
         for side, place in (("begin", "_low"), ("end", "_high")):
             w = w.join(cells.select(*by, F.col("key").alias(side), F.col("_at").alias(place)), [*by, side])
     longest = w.agg(F.max(F.col("_high") - F.col("_low"))).first()[0] or 1
-    levels = f"sequence(0, {longest.bit_length() - 1})"
-    low, high = "-shiftright(-_low, l)", "shiftright(_high, l)"
-    inside = f"{low} < {high}"
-    blocks = F.expr(
-        f"filter(flatten(transform({levels}, l -> array("
-        f"if({inside} and {low} & 1 = 1, named_struct('level', l, 'block', {low}), null), "
-        f"if({inside} and {high} & 1 = 1, named_struct('level', l, 'block', {high} - 1), null)))), x -> x is not null)"
-    )
-    last = w.select(*by, F.struct("_version", "value").alias("_w"), F.explode(blocks).alias("_b")).select(*by, "_w", "_b.level", "_b.block")
+    levels = range(longest.bit_length())
+    blocks = []
+    for n in levels:  # plain columns, as compiled code has no lambdas
+        low, high = -F.shiftright(-F.col("_low"), n), F.shiftright("_high", n)
+        for odd, block in ((low, low), (high, high - 1)):
+            blocks.append(F.when((low < high) & (odd.bitwiseAND(1) == 1), F.struct(F.lit(n).alias("level"), block.alias("block"))))
+    last = w.select(*by, F.struct("_version", "value").alias("_w"), F.explode(F.array(*blocks)).alias("_b")).where("_b is not null").select(*by, "_w", "_b.level", "_b.block")
     last = last.groupBy(*by, "level", "block").agg(F.max_by("_w", "_w._version").alias("_w"))
-    around = cells.where("to is not null").withColumn("_b", F.explode(F.expr(f"transform({levels}, l -> named_struct('level', l, 'block', shiftright(_at, l)))")))
+    holding = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("_at", n).alias("block")) for n in levels])
+    around = cells.where("to is not null").withColumn("_b", F.explode(holding))
     met = around.select(*by, "key", "to", "_b.level", "_b.block").join(last, [*by, "level", "block"])
     return met.groupBy(*by, F.col("key").alias("begin"), F.col("to").alias("end")).agg(F.max_by("_w.value", "_w._version").alias("value"))
 
