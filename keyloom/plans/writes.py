@@ -496,7 +496,12 @@ def cdc_register(t):
     return rows.select("name", *[F.col(c).cast("int").alias(c) for c in ("stream_id", "begin", "end", "min_version")])
 
 
-@query()
+@query(
+    "with recursive s as materialized (select event_type, event_id as version, cast(strlen(props) as bigint) as size, row_number() over (partition by event_type order by event_id) as n from events), "
+    "r as (select event_type, version, n, size as held, cast(0 as bigint) as reply from s where n = 1 union all "
+    "select s.event_type, s.version, s.n, case when r.held + s.size <= 256 then r.held + s.size else s.size end, case when r.held + s.size <= 256 then r.reply else r.reply + 1 end "
+    "from r join s on s.event_type = r.event_type and s.n = r.n + 1) select event_type, version, reply from r"
+)
 def cdc_reply_packing(t):
     return changes.replies(t("events").withColumn("version", F.col("event_id")), "event_type", F.octet_length("props").cast("bigint"), 256)
 
