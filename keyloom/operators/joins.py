@@ -96,7 +96,8 @@ def overlapping(a: DataFrame, b: DataFrame, width: int | None = None, by: list[s
     """Pairs of intervals (a.begin, a.end) and (b.begin, b.end) that share a point.
 
     With ``width`` (of integer keys) intervals are cut into cells and joined on the cell, so that nothing but
-    neighbours is compared; a pair is reported in the cell where the later one begins.
+    neighbours is compared; a pair is reported in the cell where the later one begins. An empty interval lies in the cell
+    of its begin, and shares a point with what holds that inside.
     """
     x = a.select(F.struct("*").alias("a"))
     y = b.select(F.struct("*").alias("b"))
@@ -105,8 +106,12 @@ def overlapping(a: DataFrame, b: DataFrame, width: int | None = None, by: list[s
         meet = meet & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     if not width:
         return x.join(y, meet)
-    cell = lambda s: F.explode(F.sequence(F.floor(F.col(f"{s}.begin") / width), F.floor((F.col(f"{s}.end") - 1) / width)))
-    x, y = x.where("a.begin < a.end").withColumn("_x", cell("a")), y.where("b.begin < b.end").withColumn("_y", cell("b"))
+
+    def cells(s: str) -> Column:
+        first = F.floor(F.col(f"{s}.begin") / width)
+        return F.explode(F.when(F.col(f"{s}.end").isNotNull(), F.sequence(first, F.greatest(first, F.floor((F.col(f"{s}.end") - 1) / width)))))
+
+    x, y = x.withColumn("_x", cells("a")), y.withColumn("_y", cells("b"))
     here = F.floor(F.greatest("a.begin", "b.begin") / width) == F.col("_x")
     return x.join(y, (F.col("_x") == F.col("_y")) & meet & here).drop("_x", "_y")
 
