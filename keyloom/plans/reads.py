@@ -101,9 +101,8 @@ def read_version_asof(t):
 
 @query(f"select key, address from {ORDERS_KV} o join {SHARD_MAP} s on key >= s.\"begin\" and key < s.\"end\"")
 def get_addresses_for_key(t):
-    keys = orders_kv(t).select("key")
-    shards = shard_map(t).select(F.col("begin").alias("key"), "address")
-    return joins.asof(keys, shards, "key", ["address"])
+    keys = orders_kv(t).select(F.col("key").alias("begin"), (F.col("key") + 1).alias("end"))
+    return joins.overlapping(keys, shard_map(t), width=1000).select(F.col("a.begin").alias("key"), "b.address")
 
 
 @query(f"select \"begin\" as key from {SHARD_MAP} where \"begin\" >= 3000 and \"begin\" < 12000")

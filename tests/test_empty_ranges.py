@@ -8,3 +8,14 @@ def test_an_empty_interval_meets_what_holds_it(spark):
     got = sorted((r["a"]["id"], r["b"]["id"]) for r in joins.overlapping(x, x, width=16).collect())
     plain = sorted((r["a"]["id"], r["b"]["id"]) for r in joins.overlapping(x, x).collect())
     assert got == plain == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+
+
+def test_keys_outside_the_shard_map_have_no_address(spark):
+    from keyloom.plans import reads
+
+    tables = {
+        "orders": spark.createDataFrame([(0, "a"), (999, "b"), (1000, "c"), (2000, "d"), (-1, "e")], "o_orderkey bigint, o_orderpriority string"),
+        "nation": spark.createDataFrame([(0, "x"), (1, "y")], "n_nationkey int, n_name string"),
+    }
+    got = sorted(tuple(r) for r in reads.get_addresses_for_key(tables.__getitem__).collect())
+    assert got == [(0, "x"), (999, "x"), (1000, "y")]
