@@ -57,39 +57,58 @@ def mapped_range(index: DataFrame, records: DataFrame, mapped: list[Column], rec
 def asof(left: DataFrame, right: DataFrame, on: str, columns: list[str], by: list[str] = (), direction: str = "<=") -> DataFrame:
     """``left`` with ``columns`` of the nearest ``right`` row below (<, <=) or above (>, >=) its ``on``.
 
-    Both sides are put in one order and the last right row seen is carried on; groups of ``by`` are independent.
+    The different keys of ``left`` and all of ``right`` are put in one order and the last right row seen is carried on; rows of ``left``
+    get it by their key, so that neither equal keys nor wide rows are sorted. Groups of ``by`` are independent.
     Without ``by`` the order is cut into ranges, and one row for each range tells what it carries on. A null key meets nothing.
     """
     back, equal = direction[0] == "<", direction.endswith("=")
     side = 0 if equal == back else 1  # of right rows among equal keys: before left ones if equal keys count backwards
-    null_of = lambda df, *c: F.expr(f"cast(null as {df.select(F.struct(*c)).schema[0].dataType.simpleString()})")
-    known = right.where(F.col(on).isNotNull())
-    a = left.select(F.struct("*").alias("_l"), *by, F.col(on).alias("_o"), F.lit(1 - side).alias("_s"), null_of(right, *columns).alias("_v"))
-    b = known.select(null_of(left, "*").alias("_l"), *by, F.col(on).alias("_o"), F.lit(side).alias("_s"), F.struct(*columns).alias("_v"))
-    both = a.unionByName(b)
-    keys = list(by)
-    if not keys:  # one order of all rows, cut into ranges
-        both = both.withColumn("_r", range_of(F.col("_o"), borders(known, on)))
+    groups = [f"_g{i}" for i in range(len(by))]
+    grouped = [F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]
+    asked = left.select(*grouped, F.col(on).alias("_o")).where("_o is not null").distinct()
+    known = right.where(F.col(on).isNotNull()).select(*grouped, F.col(on).alias("_o"), F.lit(side).alias("_s"), F.struct(*columns).alias("_v"))
+    none = F.lit(None).cast(known.schema["_v"].dataType)
+    both = asked.select(*groups, "_o", F.lit(1 - side).alias("_s"), none.alias("_v")).unionByName(known)
+    keys = groups
+    if not by:  # one order of all rows, cut into ranges
+        both = both.withColumn("_r", range_of(F.col("_o"), borders(both, "_o")))
         keys = ["_r"]
-    frame = Window.partitionBy(*keys).orderBy("_o", "_s")
-    carried = (
-        F.last("_v", ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, 0))
-        if back
-        else F.first("_v", ignorenulls=True).over(frame.rowsBetween(0, Window.unboundedFollowing))
-    )
-    got = both.withColumn("_c", carried).where("_l is not null")
+    way = F.asc if back else F.desc  # a frame that ends at the row is kept up; one that begins there is read again for each row
+    frame = Window.partitionBy(*keys).orderBy(way("_o"), way("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last("_v", ignorenulls=True).over(frame)
+    got = both.withColumn("_c", carried).where(F.col("_s") == 1 - side)
     if not by:  # what the ranges before or behind carry in: one row for each range
         pick = F.max_by if back else F.min_by
         ends = both.groupBy("_r").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.col("_o"))).alias("_e"))
-        order = Window.orderBy("_r")
-        over = (
-            F.last("_e", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-            if back
-            else F.first("_e", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-        )
+        over = F.last("_e", ignorenulls=True).over(Window.orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1))
         got = got.join(F.broadcast(ends.select(F.col("_r").alias("_q"), over.alias("_in"))), F.col("_r") == F.col("_q"), "left")
-        got = got.withColumn("_c", F.when(F.col("_o").isNotNull(), F.coalesce("_c", "_in")))
-    return got.select("_l.*", *[F.col("_c").getField(c).alias(c) for c in columns])
+        got = got.withColumn("_c", F.coalesce("_c", "_in"))
+    rows = left.select(F.struct("*").alias("_l"), *[F.col(c).alias(f"_l{g}") for c, g in zip(by, groups, strict=True)], F.col(on).alias("_k"))
+    match = F.col("_k") == F.col("_o")
+    for g in groups:
+        match = match & F.col(f"_l{g}").eqNullSafe(F.col(g))
+    joined = rows.join(got.select(*groups, "_o", "_c"), match, "left")
+    return joined.select("_l.*", *[F.col("_c").getField(c).alias(c) for c in columns])
+
+
+def counted_below(left: DataFrame, right: DataFrame, value: tuple[str, str], by: tuple[str, str]) -> DataFrame:
+    """``left`` with ``n``, the number of ``right`` rows of its group whose value is less than its own; rows with none are left out.
+
+    ``value`` and ``by`` name the columns of both sides. This is what a join on left.value > right.value counts, without its pairs: counts of
+    equal right values are summed along the order of each group, which is cut into ranges.
+    """
+    a = left.select(F.struct("*").alias("_l"), F.col(by[0]).alias("_g"), F.col(value[0]).alias("_o"), F.lit(0).alias("_s"), F.lit(0).cast("bigint").alias("_n"))
+    b = right.groupBy(F.col(by[1]).alias("_g"), F.col(value[1]).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    b = b.select(F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_g", "_o", F.lit(1).alias("_s"), "_n")
+    both = a.union(b).where("_g is not null and _o is not null")  # equal values stand behind the left ones, as they are not less
+    both = both.withColumn("_r", range_of(F.col("_o"), borders(both, "_o")))
+    totals = both.groupBy("_g", "_r").agg(F.sum("_n").alias("_t"))
+    before = F.sum("_t").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    totals = totals.select(F.col("_g").alias("_h"), F.col("_r").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    order = Window.partitionBy("_g", "_r").orderBy("_o", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    summed = both.withColumn("_m", F.sum("_n").over(order)).where("_s = 0")
+    summed = summed.join(totals, (F.col("_g") == F.col("_h")) & (F.col("_r") == F.col("_q")))
+    return summed.select("_l.*", (F.col("_m") + F.col("_before")).alias("n")).where("n > 0")
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: int | None = None, by: list[str] = ()) -> DataFrame:

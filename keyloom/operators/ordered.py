@@ -19,7 +19,7 @@ def borders(df: DataFrame, key: str, ranges: int | None = None) -> list:
     """Keys that cut the order into about equal parts, from a sample drawn by hash of at most SAMPLE rows."""
     ranges = ranges or min(MOST, 2 * max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     drawn = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()
-    keys = sorted({bytes(r["k"]) if isinstance(r["k"], bytearray) else r["k"] for r in drawn})
+    keys = sorted({bytes(r["k"]) if isinstance(r["k"], bytearray) else r["k"] for r in drawn if r["k"] == r["k"]})  # NaN, the greatest, is in the last range
     step = max(1, len(keys) // ranges)
     return keys[step::step][: ranges - 1]
 
