@@ -270,8 +270,8 @@ def anti_join(t):
 
 @query("select s_suppkey, count(*) as n from supplier join customer on s_acctbal > c_acctbal and s_nationkey = c_nationkey group by 1")
 def theta_join(t):
-    on = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") > F.col("c_acctbal"))
-    return t("supplier").join(t("customer"), on).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    counted = joins.counted_below(t("supplier"), t("customer"), ("s_acctbal", "c_acctbal"), ("s_nationkey", "c_nationkey"))
+    return counted.groupBy("s_suppkey").agg(F.sum("n").alias("n"))
 
 
 # ---- tuples ----------------------------------------------------------------------

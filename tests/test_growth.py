@@ -21,3 +21,22 @@ def test_equal_keys_are_one_row_of_the_order(spark):
     assert sorted((r["k"], r["v"]) for r in got.collect() if r["k"] is not None) == sorted((i % 3, {0: None, 1: 10, 2: 20}[i % 3]) for i in range(30))
     assert got.count() == 31
     assert "keys=[_o#" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_below_match_all_pairs(spark):
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, float("nan"), -0.0, 0.0, *[rng.randint(-9, 9) / 2 for _ in range(6)]])
+    left = [(i, rng.choice([None, 0, 1, 2]), value()) for i in range(80)]
+    right = [(i, rng.choice([None, 0, 1, 2]), value()) for i in range(300)]
+    a = spark.createDataFrame(left, "id int, g int, v double")
+    b = spark.createDataFrame(right, "i int, h int, w double")
+    got = joins.counted_below(a, b, ("v", "w"), ("g", "h"))
+    pairs = a.join(b, (F.col("g") == F.col("h")) & (F.col("v") > F.col("w"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(tuple(r) for r in got.select("id", "n").collect()) == sorted(tuple(r) for r in pairs.collect())
+
+
+def test_the_theta_join_makes_no_pairs(spark):
+    from keyloom.plans import catalog
+
+    text = catalog.queries()["theta_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "s_acctbal" in text and "> c_acctbal" not in text and "NestedLoop" not in text
