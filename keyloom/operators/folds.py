@@ -8,11 +8,12 @@ widths and the mutations that are not associative are folded in commit order.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keyloom.functions.keys import VALUE_LIMIT, reversed_bytes, reversed_hex
 
@@ -99,7 +100,7 @@ def ordered_fold(log: DataFrame, key: list[str], order: list[str], kind: str = "
     """key, value after all mutations in commit order; keys that end absent have no row.
 
     What came before the last set or clear of a key cannot matter and is dropped first, by one aggregate, so
-    that a key's list starts there.
+    that a key's list starts there. Keys follow one another, in order, through one Python function a task.
     """
     rows = log if upto is None else log.where(upto)
     at = F.struct(*order)
@@ -109,15 +110,36 @@ def ordered_fold(log: DataFrame, key: list[str], order: list[str], kind: str = "
     schema = log.select(*key).schema
     names = [f.name for f in schema]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        value = fold((k, bytes(v) if v is not None else b"") for k, v in zip(pdf["kind"], pdf["operand"], strict=True))
-        if value is None:
-            return pd.DataFrame(columns=[*names, "value"])
-        return pdf.iloc[:1][names].assign(value=[value])
-
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def batch(keys: list[tuple], values: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], names=[*names, "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, value, keys, values = None, None, [], []
+        for record in batches:
+            for *own, mutation, x in zip(*[c.to_pylist() for c in record.columns], strict=True):
+                if now is None or not _same(own, now):
+                    if value is not None:
+                        keys.append(now)
+                        values.append(value)
+                    now, value = own, None
+                value = apply_mutation(mutation, value, b"" if x is None else x)
+            if keys:
+                yield batch(keys, values)
+                keys, values = [], []
+        if value is not None:
+            yield batch([now], [value])
+
+    ordered = live.repartition(*key).sortWithinPartitions(*key, *order).select(*key, "kind", "operand")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return live.groupBy(*key).applyInPandas(run, f"{fields}, value binary")
+    return ordered.mapInArrow(run, f"{fields}, value binary")
+
+
+def _same(a: list, b: list) -> bool:
+    """Whether two keys are one, NaN being equal to itself."""
+    return a == b or all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
 
 def last_writer(log: DataFrame, key: list[str], order: list[str], value: str, cleared: Column) -> DataFrame:

@@ -50,3 +50,15 @@ def test_no_sketch_for_each_distinct_id(spark):
     assert sorted(((tuple(r)) for r in got.collect()), key=repr) == [("a", 50, True, True), (None, 50, True, True)]
     for node in got._jdf.queryExecution().executedPlan().toString().split("\n"):
         assert not ("event_id" in node.split("functions=")[0] and "approx_count_distinct" in node)
+
+
+def test_ordered_folds_stream_through_a_task(spark):
+    from keyloom.operators import folds
+
+    rng = random.Random(8)
+    log = [(k, i, rng.choice(["add", "xor", "set", "clear", "compare_and_clear"]), bytearray(rng.choices(range(3), k=2))) for i in range(400) for k in [rng.choice([None, 1, 2, 3, 4])]]
+    df = spark.createDataFrame(log, "k int, i int, kind string, operand binary")
+    got = folds.ordered_fold(df, ["k"], ["i"])
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {k: folds.fold([(m, bytes(o)) for q, _, m, o in log if q == k]) for k in (None, 1, 2, 3, 4)}
+    assert {r["k"]: bytes(r["value"]) for r in got.collect()} == {k: v for k, v in want.items() if v is not None}
