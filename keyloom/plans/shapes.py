@@ -53,8 +53,8 @@ def split_metrics(t):
     def run(which, pdf):
         import pandas as pd
 
-        order = stats.Order(zip(pdf["key"], pdf["size"], strict=True))
-        rates = stats.Order((k, 1 + k % 3) for k in pdf["key"])
+        order = stats.Order.of(pdf["key"], pdf["size"])
+        rates = stats.Order.of(pdf["key"], 1 + pdf["key"] % 3)
         cuts = stats.split_metrics(order, rates, order.keys[0], order.keys[-1] + 1, 2000, 400, 300)
         return pd.DataFrame({"shard": [which] * len(cuts), "key": cuts})
 
@@ -70,7 +70,7 @@ def split_estimate(t):
     def run(which, pdf):
         import pandas as pd
 
-        order = stats.Order(zip(pdf["key"], pdf["size"], strict=True))
+        order = stats.Order.of(pdf["key"], pdf["size"])
         ends = order.keys[0], order.keys[-1]
         return pd.DataFrame({"shard": [which], "front": [stats.position_at(order, *ends, 1000)], "back": [stats.position_at(order, *ends, 1000, False)]})
 
@@ -82,8 +82,8 @@ def read_hot_ranges(t):
     def run(which, pdf):
         import pandas as pd
 
-        sizes = stats.Order(zip(pdf["key"], pdf["size"], strict=True))
-        reads = stats.Order((k, s * (9 if k % 1000 < 200 else 1)) for k, s in zip(pdf["key"], pdf["size"], strict=True))
+        sizes = stats.Order.of(pdf["key"], pdf["size"])
+        reads = stats.Order.of(pdf["key"], pdf["size"].where(pdf["key"] % 1000 >= 200, pdf["size"] * 9))
         got = stats.hot_ranges(sizes, reads, sizes.keys[0], sizes.keys[-1] + 1, 2.0, 300)
         return pd.DataFrame([(which, *g) for g in got], columns=["shard", "begin", "end", "bytes", "read"])
 
@@ -99,7 +99,7 @@ def read_hot_equal_divide(t):
     def run(which, pdf):
         import pandas as pd
 
-        reads = stats.Order(zip(pdf["key"], pdf["size"], strict=True))
+        reads = stats.Order.of(pdf["key"], pdf["size"])
         got = stats.equal_divide(reads, reads.keys[0], reads.keys[-1] + 1, 7)
         return pd.DataFrame([(which, *g, reads.between(*g)) for g in got], columns=["shard", "begin", "end", "read"])
 

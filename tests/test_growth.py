@@ -62,3 +62,19 @@ def test_ordered_folds_stream_through_a_task(spark):
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
     want = {k: folds.fold([(m, bytes(o)) for q, _, m, o in log if q == k]) for k in (None, 1, 2, 3, 4)}
     assert {r["k"]: bytes(r["value"]) for r in got.collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_compact_orders_tell_what_pairs_tell():
+    from keyloom.operators import stats
+
+    rng = random.Random(5)
+    keys = [rng.randint(0, 200) for _ in range(300)]
+    sizes = [rng.randint(0, 50) for _ in keys]
+    a, b = stats.Order.of(keys, sizes), stats.Order(zip(keys, sizes, strict=True))
+    assert isinstance(a.keys, memoryview) and isinstance(a.sums, memoryview) and list(a.keys) == b.keys
+    assert stats.split_points(a, 0, 201, 300) == stats.split_points(b, 0, 201, 300)
+    assert stats.hot_ranges(a, a, 0, 201, 0.5, 300) == stats.hot_ranges(b, b, 0, 201, 0.5, 300)
+    assert stats.equal_divide(a, 0, 201, 7) == stats.equal_divide(b, 0, 201, 7)
+    assert stats.split_metrics(a, a, 0, 201, 500, 400, 100) == stats.split_metrics(b, b, 0, 201, 500, 400, 100)
+    assert [stats.position_at(a, 0, 201, n) for n in range(0, 9000, 77)] == [stats.position_at(b, 0, 201, n) for n in range(0, 9000, 77)]
+    assert list(stats.Order.of(["b", "a"], [1, 2]).keys) == ["a", "b"]
