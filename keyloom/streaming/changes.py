@@ -7,9 +7,12 @@ least once; ``apply_changes`` makes it once by (version, seq).
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -138,17 +141,29 @@ def pack_replies(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
     return out
 
 
+def reply_numbers(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """The number of the reply that ``pack_replies`` puts each version in; a few bytes are held for each, and each reply is found by one search."""
+    sums = np.zeros(len(sizes) + 1, "int64")
+    np.cumsum(sizes, out=sums[1:])
+    at, fresh = 0, np.zeros(len(sizes), "int64")
+    found = memoryview(sums)
+    while at < len(sizes):
+        fresh[at] = at > 0
+        at = max(at + 1, bisect_right(found, found[at] + limit, lo=at + 1) - 1)
+    return np.cumsum(fresh, out=fresh)
+
+
 def replies(mutations: DataFrame, stream: str, size: Column, limit: int) -> DataFrame:
     """(stream, version, reply): the reply of each version, packed for every stream."""
     sizes = mutations.groupBy(stream, "version").agg(F.sum(size).alias("size"))
     kind = mutations.schema[stream].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("version")
-        packed = pack_replies(list(zip(pdf["version"], pdf["size"], strict=True)), limit)
-        return pd.DataFrame([(pdf[stream].iloc[0], v, i) for i, own in enumerate(packed) for v in own], columns=[stream, "version", "reply"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("version")
+        sizes = table["size"].fill_null(0).to_numpy()
+        return pa.table({stream: table[stream], "version": table["version"], "reply": reply_numbers(sizes, limit)})
 
-    return sizes.groupBy(stream).applyInPandas(run, f"`{stream}` {kind}, version bigint, reply bigint")
+    return sizes.groupBy(stream).applyInArrow(run, f"`{stream}` {kind}, version bigint, reply bigint")
 
 
 def watch(stream: DataFrame, key_kind: str = "bigint") -> DataFrame:

@@ -78,3 +78,15 @@ def test_compact_orders_tell_what_pairs_tell():
     assert stats.split_metrics(a, a, 0, 201, 500, 400, 100) == stats.split_metrics(b, b, 0, 201, 500, 400, 100)
     assert [stats.position_at(a, 0, 201, n) for n in range(0, 9000, 77)] == [stats.position_at(b, 0, 201, n) for n in range(0, 9000, 77)]
     assert list(stats.Order.of(["b", "a"], [1, 2]).keys) == ["a", "b"]
+
+
+def test_reply_numbers_match_packed_replies():
+    import numpy as np
+
+    from keyloom.streaming.changes import pack_replies, reply_numbers
+
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 3, 9, 30]) for _ in range(rng.randint(0, 25))]
+        packed = pack_replies(list(enumerate(sizes)), 10)
+        assert list(reply_numbers(np.array(sizes, "int64"), 10)) == [i for i, own in enumerate(packed) for _ in own]
