@@ -7,10 +7,10 @@ first key, then pairs, then its last key; a log block holds (version, sub, lengt
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 # File versions and the numbers of mutation types.
@@ -121,6 +121,12 @@ def _blocks(files: DataFrame, block: int) -> DataFrame:
     return rows.select("path", "offset", F.substr("content", F.col("offset") + 1, F.lit(block)).alias("data"))
 
 
+def _each_block(files: DataFrame, block: int) -> GroupedData:
+    """Blocks as groups, so that Python holds one at a time: a batch of thousands of blocks would be larger than a worker's memory.
+    A file that is listed twice gives two groups."""
+    return _blocks(files, block).withColumn("_n", F.monotonically_increasing_id()).groupBy("path", "offset", "_n")
+
+
 def read_range(spark: SparkSession, path: str, block: int) -> DataFrame:
     """(key, value, path) of stored range files."""
     return range_pairs(files(spark, path), block)
@@ -129,11 +135,12 @@ def read_range(spark: SparkSession, path: str, block: int) -> DataFrame:
 def range_pairs(files: DataFrame, block: int) -> DataFrame:
     """(key, value, path) of range files (path, content); blocks are decoded in parallel."""
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            yield pd.DataFrame([(k, v, p) for d, p in zip(pdf["data"], pdf["path"], strict=True) for k, v in decode_range(bytes(d))[1]], columns=["key", "value", "path"])
+    def run(table: pa.Table) -> pa.Table:
+        pairs = decode_range(table["data"][0].as_py())[1]
+        path = pa.repeat(table["path"][0], len(pairs))
+        return pa.table({"key": pa.array([k for k, _ in pairs], pa.binary()), "value": pa.array([v for _, v in pairs], pa.binary()), "path": path})
 
-    return _blocks(files, block).mapInPandas(run, "key binary, value binary, path string")
+    return _each_block(files, block).applyInArrow(run, "key binary, value binary, path string")
 
 
 def read_log(spark: SparkSession, path: str, block: int) -> DataFrame:
@@ -144,12 +151,14 @@ def read_log(spark: SparkSession, path: str, block: int) -> DataFrame:
 def log_rows(files: DataFrame, block: int) -> DataFrame:
     """(version, sub, type, param1, param2, path) of log files (path, content)."""
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            rows = [(*m, p) for d, p in zip(pdf["data"], pdf["path"], strict=True) for m in decode_log(bytes(d))]
-            yield pd.DataFrame(rows, columns=["version", "sub", "type", "param1", "param2", "path"])
+    kinds = {"version": pa.int64(), "sub": pa.int32(), "type": pa.int32(), "param1": pa.binary(), "param2": pa.binary()}
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = decode_log(table["data"][0].as_py())
+        columns = {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())}
+        return pa.table({**columns, "path": pa.repeat(table["path"][0], len(rows))})
 
-    return _blocks(files, block).mapInPandas(run, "version bigint, sub int, type int, param1 binary, param2 binary, path string")
+    return _each_block(files, block).applyInArrow(run, "version bigint, sub int, type int, param1 binary, param2 binary, path string")
 
 
 def convert_logs(log: DataFrame) -> DataFrame:

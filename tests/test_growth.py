@@ -90,3 +90,18 @@ def test_reply_numbers_match_packed_replies():
         sizes = [rng.choice([0, 1, 3, 9, 30]) for _ in range(rng.randint(0, 25))]
         packed = pack_replies(list(enumerate(sizes)), 10)
         assert list(reply_numbers(np.array(sizes, "int64"), 10)) == [i for i, own in enumerate(packed) for _ in own]
+
+
+def test_blocks_are_decoded_one_at_a_time(spark):
+    from keyloom.sources import backup
+
+    pairs = [(f"{i:05}".encode(), b"v" * 40) for i in range(500)]
+    content = backup.encode_range(pairs, pairs[0][0], b"~", 1024)
+    files = spark.createDataFrame([("f", content), ("f", content)], "path string, content binary")
+    got = backup.range_pairs(files, 1024)
+    assert sorted((bytes(r["key"]), bytes(r["value"])) for r in got.collect()) == sorted(pairs * 2)
+    log = spark.createDataFrame([("g", backup.encode_log([(1, i, 0, b"k", b"v") for i in range(100)], 256))], "path string, content binary")
+    assert backup.log_rows(log, 256).count() == 100
+    for df in (got, backup.log_rows(log, 256)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "MapInPandas" not in plan
