@@ -48,7 +48,7 @@ class Order:
 
     @classmethod
     def of(cls, keys, sizes) -> Order:
-        """The order of two columns of whole numbers: 8 bytes for a key and 8 for its sum, where pairs of objects take some 200."""
+        """The order of two columns of whole numbers: 8 bytes for a key and 8 for its sum, where pairs are objects."""
         keys, sizes = np.asarray(keys), np.asarray(sizes)
         if keys.dtype.kind not in "iu" or sizes.dtype.kind not in "iu":
             return cls(zip(keys.tolist(), sizes.tolist(), strict=True))
