@@ -170,6 +170,18 @@ def test_license_scans(spark, docs, empty):
     assert "tile_token" in plan and "BroadcastHashJoin" in plan and "Python" not in plan
 
 
+def test_license_phrases_are_those_of_the_contract(spark):
+    rows = [
+        (1, "the MIT license"), (2, "Released under the MIT License, not under the X license"), (3, "under the MIT-license; UNDER THE\x00MIT LICENSE"),
+        (4, "the apache license version 2 cc by nc"), (5, "under the mit licenses"), (6, "CC BY NC under the MIT license"),
+    ]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 3, 0, None, None, ""), (2, 10, 1, 1, 1, "mit"), (3, 8, 2, 0, 4, "mit"), (4, 8, 2, 1, 5, "apache-2,cc-by-nc"), (5, 4, 0, None, None, ""),
+        (6, 7, 2, 0, 3, "cc-by-nc,mit"),
+    ]
+
+
 # ---- 3 ---------------------------------------------------------------------------
 
 
