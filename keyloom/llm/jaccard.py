@@ -396,8 +396,11 @@ def link_documents(
         two = classes.select(F.col("sid").alias("y"), F.col("rep").alias("rep_y"))
         near = pairs.join(one, "x").join(two, "y").where("rep_x <> rep_y")
         near = materialise(near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct())
-        joined = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a")
-        joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
+        # only the texts of these pairs are dealt out
+        asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        held = texts.join(F.broadcast(asked) if fits(near, BROADCAST_IDS // 2) else asked, F.col("doc_id") == F.col("id"), "left_semi")
+        joined = near.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a")
+        joined = joined.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
 
         def check(batches):
             for batch in batches:

@@ -107,18 +107,42 @@ def test_blocks_are_decoded_one_at_a_time(spark):
         assert "FlatMapGroupsInArrow" in plan and "MapInPandas" not in plan
 
 
-def test_painting_shuffles_in_proportion_to_writes(spark):
-    store = spark.sparkContext._jsc.sc().statusStore()
-    none = spark.sparkContext._jvm.java.util.ArrayList()
+def shuffled(spark, column):
+    """The sum of a figure of all stages so far."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+    return sum(getattr(stages.apply(i), column)() for i in range(stages.size()))
 
-    def shuffled():
-        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
 
-    n, before = 2000, shuffled()
+def test_painting_shuffles_in_proportion_to_writes(spark):
+    n, before = 2000, shuffled(spark, "shuffleWriteRecords")
     df = spark.range(n).select((F.col("id") % 7).alias("m"), (F.col("id") * 37).alias("begin"), (F.col("id") * 37 + 450 + F.col("id") % 60).alias("end"), F.col("id").cast("string").alias("value"), F.col("id").alias("version"))
     assert intervals.paint(df, "version", ["m"]).count() > n
-    assert sum(shuffled().values()) - sum(before.values()) < 3 * n
+    assert shuffled(spark, "shuffleWriteRecords") - before < 3 * n
+
+
+def test_texts_without_a_likely_pair_are_not_shuffled(spark):
+    from keyloom.llm import jaccard
+
+    def run(letters):
+        rng = random.Random(4)
+        word = lambda: f"{rng.getrandbits(4 * letters):0{letters}x}"
+        rows = []
+        for i in range(40):  # two thirds alike: they share signatures
+            own = [word() for _ in range(1000)]
+            rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:800] + [word() for _ in range(200)]))]
+        rows += [(100, rows[0][1] + " " + word())]
+        before = shuffled(spark, "shuffleWriteBytes")
+        got = jaccard.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: 0 if i == 100 else i for i, _ in rows}
+        return shuffled(spark, "shuffleWriteBytes") - before, sum(len(t) for _, t in rows)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        (few, short), (many, long) = run(8), run(80)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert many - few < 0.1 * (long - short)
 
 
 def test_painting_over_chunks_matches_all_pairs(spark):
